@@ -23,7 +23,9 @@ def _table() -> Column:
         char = bytes([number]).decode("cp1252", errors="ignore")
         if char:
             names[str(number)] = char
-    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    # One literal, folded into a constant map, keeps plans small.
+    lines = "\n".join(f"{name}\t{char}" for name, char in names.items())
+    return F.str_to_map(F.lit(lines), F.lit("\n"), F.lit("\t"))
 
 
 def _from_code_point(point: Column) -> Column:

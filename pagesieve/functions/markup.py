@@ -1,11 +1,13 @@
 """Reading HTML with regular expressions, in time linear in the page.
 
-Three rules keep the patterns safe on real pages:
+Rules that keep the patterns safe and fast on real pages:
 
 * a page is read left to right, so a comment inside a script, or a script inside
   a comment, is taken as what it is;
-* every repeated group is possessive: no backtracking, and no deep recursion in
-  the JVM's matcher on a start tag with a hundred thousand attributes;
+* every repetition is possessive: no backtracking, and no deep recursion in the
+  JVM's matcher on a start tag with a hundred thousand attributes;
+* every alternative starts after one "<", so plain text costs one comparison per
+  character;
 * only start tags are trusted; nothing relies on balanced pairs, and whatever is
   left open runs to the end of the page.
 """
@@ -15,12 +17,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagesieve.functions.arrays import let
 from pagesieve.functions.entities import decode_entities
 
-_COMMENT = r"<!--.*?(?:-->|\z)"
-_SCRIPT = r"<script[\s/>].*?(?:</script[\s/>]|\z)"
-_STYLE = r"<style[\s/>].*?(?:</style[\s/>]|\z)"
-_TITLE = r"<title[\s/>].*?(?:</title[\s/>]|\z)"
+
+def until(mark: str, end: str) -> str:
+    """Everything before the first ``mark`` that ``end`` follows, or to the end."""
+    return rf"[^{mark}]*+(?:{mark}(?!{end})[^{mark}]*+)*+"
+
+
+def content(name: str) -> str:
+    """The markup between a start tag of ``name`` and the next end tag of it."""
+    return until("<", rf"/{name}[\s/>]")
+
+
+def _element(name: str) -> str:
+    return rf"{name}[\s/>]{content(name)}(?:</{name}[^<>]*+>?+)?+"
+
+
+# All of these come after a "<".
+_HIDDEN = "|".join(
+    [
+        rf"!--(?:-?>|{until('-', '-!?>')}(?:--!?>)?+)",
+        _element("script"),
+        _element("style"),
+    ]
+)
+_TITLE = _element("title")
 
 # The rest of a tag after its name. A quote counts only after "=".
 _TAG_BODY = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>?"""
@@ -28,60 +51,63 @@ _TAG_BODY = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>?"""
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
 _ATTRIBUTE = rf"[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+"
 
-_HIDDEN = rf"(?is){_COMMENT}|{_SCRIPT}|{_STYLE}"
-_NOT_TEXT = rf"(?is){_COMMENT}|{_SCRIPT}|{_STYLE}|{_TITLE}|<[/!?a-z]{_TAG_BODY}"
-_WIDE_GAP = r"[\s\xA0]{2,}|[\t\n\x0B\f\r\xA0]"
+# White space that is not one plain space.
+_SPACE = r" \t\n\x0B\f\r\xA0"
+_GAP = rf"[{_SPACE}](?:[{_SPACE}]++|(?<! ))"
 
 
 def _tidy(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, _WIDE_GAP, " "))
+    return F.trim(F.regexp_replace(text, _GAP, " "))
 
 
-def _first(text: Column, pattern: str) -> Column:
+def first_group(text: Column, pattern: str) -> Column:
     """Group 1 of the first match of ``pattern``, NULL where there is none."""
     return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
 def _tags(html: Column, name: str) -> Column:
     """All start tags of one name, as text. A skipped span gives an empty group."""
-    pattern = rf"{_HIDDEN}|{_TITLE}|(<{name}[\s/>]{_TAG_BODY})"
+    pattern = rf"(?i)<(?:{_HIDDEN}|{_TITLE}|({name}[\s/>]{_TAG_BODY}))"
     return F.filter(
         F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda tag: tag != ""
     )
 
 
+def _after_first(name: str, skip: str) -> str:
+    """Everything up to and including the "<" of the first start tag of one name."""
+    return rf"(?i)\A(?:[^<]++|<(?:{skip})|<(?!{name}[\s/>]))*+<"
+
+
 def attribute(tag: Column, name: str) -> Column:
     """The decoded, trimmed value of one attribute of a start tag, else NULL.
 
-    The attributes before it are read one by one, so ``data-href`` or the text
-    of another attribute's value is never mistaken for ``href``.
+    ``tag`` starts with its name. The attributes before the wanted one are read
+    one by one, so ``data-href`` or the text of another attribute's value is never
+    mistaken for ``href``.
     """
     wanted = rf"[\s/]*+{name}\s*+="
-    pattern = (
-        rf"(?is)\A<[a-z][^\s/>]*+(?:(?!{wanted}){_ATTRIBUTE})*+{wanted}\s*+({_VALUE})"
+    pattern = rf"(?i)\A[^\s/>]++(?:(?!{wanted}){_ATTRIBUTE})*+{wanted}\s*+({_VALUE})"
+    value = F.regexp_replace(
+        first_group(tag, pattern), r"""(?s)\A(["'])(.*)\1\z""", "$2"
     )
-    quoted = _first(tag, pattern)
-    value = F.regexp_replace(quoted, r"""(?s)\A(["'])(.*)\1\z""", "$2")
     return _tidy(decode_entities(value))
 
 
-def _until_first(name: str, skip: str) -> str:
-    """Everything before the first start tag of one name outside ``skip``."""
-    return rf"(?is)\A(?:[^<]++|{skip}|<(?!{name}[\s/>]))*+"
-
-
 def language(html: Column) -> Column:
     """The ``lang`` attribute of the root element."""
-    before = _until_first("html", f"{_COMMENT}|{_SCRIPT}|{_STYLE}|{_TITLE}")
-    return attribute(_first(html, rf"{before}(<html[\s/>]{_TAG_BODY})"), "lang")
+    before = _after_first("html", f"{_HIDDEN}|{_TITLE}")
+    return attribute(F.regexp_extract(html, rf"{before}(html[\s/>]{_TAG_BODY})", 1), "lang")
 
 
 def title(html: Column) -> Column:
-    """The text of the first title element."""
-    before = _until_first("title", f"{_COMMENT}|{_SCRIPT}|{_STYLE}")
-    raw = _first(html, rf"{before}<title(?:[\s/][^>]*+)?>(.*?)(?:</title[\s/>]|\z)")
-    return _tidy(decode_entities(raw))
+    """The text of the first title element, NULL where the page has none."""
+    before = _after_first("title", _HIDDEN)
+    pattern = rf"{before}title(?:[\s/][^>]*+)?(>{content('title')})"
+    return let(
+        F.regexp_extract(html, pattern, 1),
+        lambda found: F.when(found != "", _tidy(decode_entities(F.substr(found, F.lit(2))))),
+    )
 
 
 def named_meta(html: Column) -> Column:
@@ -110,9 +136,10 @@ def hrefs(html: Column, tag: str = "a", attr: str = "href") -> Column:
 def visible_text(markup: Column) -> Column:
     """The text of a page, or of a piece of one, without scripts, styles, comments
     and title. A tag becomes a space, so words on its two sides stay apart."""
-    return _tidy(decode_entities(F.regexp_replace(markup, _NOT_TEXT, " ")))
+    pattern = rf"(?i)<(?:{_HIDDEN}|{_TITLE}|[/!?a-z]{_TAG_BODY})"
+    return _tidy(decode_entities(F.regexp_replace(markup, pattern, " ")))
 
 
 def drop_hidden(html: Column) -> Column:
     """The page without comments, scripts and styles."""
-    return F.regexp_replace(html, _HIDDEN, " ")
+    return F.regexp_replace(html, rf"(?i)<(?:{_HIDDEN})", " ")

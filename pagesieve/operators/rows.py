@@ -8,10 +8,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions import drop_hidden, visible_text
+from pagesieve.functions.markup import content, first_group
 
 
 @dataclass(frozen=True)
@@ -38,9 +39,9 @@ def class_rows(
     """A pattern from three ``(tag, class)`` pairs."""
 
     def element(tag: str, cls: str) -> str:
-        return rf"(?is){_start_tag(tag, cls)}(.*?)(?:</{tag}[\s/>]|\z)"
+        return rf"(?i){_start_tag(tag, cls)}({content(tag)})"
 
-    return RowPattern(rf"(?is){_start_tag(*row)}", element(*name), element(*value))
+    return RowPattern(rf"(?i){_start_tag(*row)}", element(*name), element(*value))
 
 
 def page_rows(pages: DataFrame, pattern: RowPattern) -> DataFrame:
@@ -51,10 +52,8 @@ def page_rows(pages: DataFrame, pattern: RowPattern) -> DataFrame:
     """
     pieces = F.split(drop_hidden(pages.html), pattern.row)
 
-    def part(regex: str):
-        return visible_text(
-            F.get(F.regexp_extract_all("piece", F.lit(regex), F.lit(1)), F.lit(0))
-        )
+    def part(regex: str) -> Column:
+        return visible_text(first_group(F.col("piece"), regex))
 
     return (
         pages.filter(pages.html.rlike(pattern.row))
