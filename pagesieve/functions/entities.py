@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ _REFERENCE = r"\A(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})
 def _table() -> Column:
     """Named references, and the numbers that browsers read as windows-1252."""
     names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-    names |= {name: chr(point) for name, point in name2codepoint.items()}
+    names |= {name: html5[f"{name};"] for name in name2codepoint}
     for number in range(128, 160):
         char = bytes([number]).decode("cp1252", errors="ignore")
         if char:

@@ -14,6 +14,8 @@ Rules that keep the patterns safe and fast on real pages:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +96,20 @@ def attribute(tag: Column, name: str) -> Column:
     return _tidy(decode_entities(value))
 
 
+def class_tag(name: str, cls: str) -> str:
+    """Pattern of a start tag of ``name`` that has the class ``cls``."""
+    word = re.escape(cls)
+    wanted = r"[\s/]*+class\s*+="
+    values = [
+        rf"{q}\s*+(?:(?!{word}[\s{q}])[^\s{q}]++\s++)*+{word}(?=[\s{q}])[^{q}]*+{q}"
+        for q in ('"', "'")
+    ] + [rf"{word}(?=[\s>])"]
+    return (
+        rf"<{name}(?=[\s/])(?:(?!{wanted}){_ATTRIBUTE})*+"
+        rf"{wanted}\s*+(?:{'|'.join(values)}){_TAG_BODY}"
+    )
+
+
 def language(html: Column) -> Column:
     """The ``lang`` attribute of the root element."""
     before = _after_first("html", f"{_HIDDEN}|{_TITLE}")

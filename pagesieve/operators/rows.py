@@ -5,14 +5,13 @@ Class names belong to a site, so the patterns are parameters.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions import drop_hidden, visible_text
-from pagesieve.functions.markup import content, first_group
+from pagesieve.functions.markup import class_tag, content, first_group
 
 
 @dataclass(frozen=True)
@@ -25,23 +24,15 @@ class RowPattern:
     value: str
 
 
-def _start_tag(tag: str, cls: str) -> str:
-    word = re.escape(cls)
-    quoted = "|".join(
-        rf"{q}(?:[^{q}]*\s)?{word}(?:\s[^{q}]*)?{q}" for q in ('"', "'")
-    )
-    return rf"<{tag}\s(?:[^<>]*\s)?class\s*=\s*(?:{quoted}|{word}(?=[\s>]))[^<>]*>"
-
-
 def class_rows(
     row: tuple[str, str], name: tuple[str, str], value: tuple[str, str]
 ) -> RowPattern:
     """A pattern from three ``(tag, class)`` pairs."""
 
     def element(tag: str, cls: str) -> str:
-        return rf"(?i){_start_tag(tag, cls)}({content(tag)})"
+        return rf"(?i){class_tag(tag, cls)}({content(tag)})"
 
-    return RowPattern(rf"(?i){_start_tag(*row)}", element(*name), element(*value))
+    return RowPattern(rf"(?i){class_tag(*row)}", element(*name), element(*value))
 
 
 def page_rows(pages: DataFrame, pattern: RowPattern) -> DataFrame:

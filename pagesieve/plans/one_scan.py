@@ -8,6 +8,8 @@ columns they need from it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,21 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
-def store_facts(facts: DataFrame, path: str) -> DataFrame:
+def store_facts(facts: DataFrame, path: str | None = None) -> DataFrame:
     """Write the facts to a new folder and return the table read back from it.
 
-    ``path`` has to be on storage that every executor sees; later jobs then start
-    from the written table and lose nothing with an executor.
+    Without ``path`` the table goes under the shared folder that the session names
+    in ``spark.checkpoint.dir``. Later jobs start from the written table, so a lost
+    executor costs them nothing that came before it.
     """
+    spark = facts.sparkSession
+    if path is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            raise ValueError("give a path, or set spark.checkpoint.dir to a shared folder")
+        path = f"{shared}/page_facts-{uuid.uuid4()}"
     facts.write.mode("errorifexists").parquet(path)
-    return facts.sparkSession.read.schema(facts.schema).parquet(path)
+    return spark.read.schema(facts.schema).parquet(path)
 
 
 def facts_metadata(facts: DataFrame) -> DataFrame:
