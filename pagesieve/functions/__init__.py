@@ -5,9 +5,10 @@ from pagesieve.functions.entities import decode_entities
 from pagesieve.functions.markup import (
     attribute,
     drop_hidden,
-    hrefs,
     language,
     named_meta,
+    start_tags,
+    targets,
     title,
     visible_text,
 )
@@ -17,12 +18,13 @@ __all__ = [
     "attribute",
     "decode_entities",
     "drop_hidden",
-    "hrefs",
     "language",
     "let",
     "link_host",
     "link_kind",
     "named_meta",
+    "start_tags",
+    "targets",
     "title",
     "value_counts",
     "visible_text",

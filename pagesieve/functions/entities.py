@@ -11,7 +11,8 @@ from pagesieve.functions.arrays import let
 
 REPLACEMENT = "�"
 
-# A reference without its "&": decimal, hexadecimal or named, with the ";".
+# A reference without its "&": decimal, hexadecimal or named, with the ";". The
+# longest one has 33 characters.
 _REFERENCE = r"\A(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -44,9 +45,10 @@ def decode_entities(text: Column) -> Column:
     table = _table()
 
     def piece(part: Column, i: Column) -> Column:
+        start = F.substring(part, 1, 33)
+        found = F.regexp_extract_all(start, F.lit(_REFERENCE), F.lit(0))
         return F.when(i == 0, part).otherwise(
-            let(F.get(F.regexp_extract_all(part, F.lit(_REFERENCE), F.lit(0)), F.lit(0)),
-                lambda ref: decoded(part, ref))
+            let(F.get(found, F.lit(0)), lambda ref: decoded(part, ref))
         )
 
     def decoded(part: Column, ref: Column) -> Column:

@@ -68,12 +68,14 @@ def first_group(text: Column, pattern: str) -> Column:
     return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
-def _tags(html: Column, name: str) -> Column:
-    """All start tags of one name, as text. A skipped span gives an empty group."""
-    pattern = rf"(?i)<(?:{_HIDDEN}|{_TITLE}|({name}[\s/>]{_TAG_BODY}))"
-    return F.filter(
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda tag: tag != ""
+def start_tags(html: Column, *names: str) -> Column:
+    """``array<string>``: the start tags of the given names, from name to ">"."""
+    wanted = rf"(?:{'|'.join(names)})[\s/>]{_TAG_BODY}"
+    # A skipped span gives an empty group.
+    found = F.regexp_extract_all(
+        html, F.lit(rf"(?i)<(?:{_HIDDEN}|{_TITLE}|({wanted}))"), F.lit(1)
     )
+    return F.filter(found, lambda tag: tag != "")
 
 
 def _after_first(name: str, skip: str) -> str:
@@ -81,15 +83,17 @@ def _after_first(name: str, skip: str) -> str:
     return rf"(?i)\A(?:[^<]++|<(?:{skip})|<(?!{name}[\s/>]))*+<"
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The decoded, trimmed value of one attribute of a start tag, else NULL.
+def attribute(tag: Column, name: str, of: str = r"[^\s/>]++") -> Column:
+    """The decoded, trimmed value of one attribute of a start tag.
 
-    ``tag`` starts with its name. The attributes before the wanted one are read
-    one by one, so ``data-href`` or the text of another attribute's value is never
-    mistaken for ``href``.
+    NULL where the attribute is missing or the tag's own name is not ``of``. The
+    attributes before the wanted one are read one by one, so ``data-href`` or the
+    text of another attribute's value is never mistaken for ``href``.
     """
     wanted = rf"[\s/]*+{name}\s*+="
-    pattern = rf"(?i)\A[^\s/>]++(?:(?!{wanted}){_ATTRIBUTE})*+{wanted}\s*+({_VALUE})"
+    pattern = (
+        rf"(?i)\A{of}(?=[\s/])(?:(?!{wanted}){_ATTRIBUTE})*+{wanted}\s*+({_VALUE})"
+    )
     value = F.regexp_replace(
         first_group(tag, pattern), r"""(?s)\A(["'])(.*)\1\z""", "$2"
     )
@@ -126,26 +130,28 @@ def title(html: Column) -> Column:
     )
 
 
-def named_meta(html: Column) -> Column:
+def named_meta(tags: Column) -> Column:
     """``array<struct<name, content>>``, one item per meta tag with a name.
 
     Pages use both ``name=`` and ``property=`` for the same thing.
     """
     pairs = F.transform(
-        _tags(html, "meta"),
+        tags,
         lambda tag: F.struct(
-            F.coalesce(attribute(tag, "name"), attribute(tag, "property")).alias("name"),
-            attribute(tag, "content").alias("content"),
+            F.coalesce(
+                attribute(tag, "name", "meta"), attribute(tag, "property", "meta")
+            ).alias("name"),
+            attribute(tag, "content", "meta").alias("content"),
         ),
     )
     return F.filter(pairs, lambda pair: pair["name"].isNotNull())
 
 
-def hrefs(html: Column, tag: str = "a", attr: str = "href") -> Column:
+def targets(tags: Column, tag: str = "a", attr: str = "href") -> Column:
     """``array<string>``: link targets in page order, copies kept."""
     return F.filter(
-        F.transform(_tags(html, tag), lambda t: attribute(t, attr)),
-        lambda href: href.isNotNull(),
+        F.transform(tags, lambda t: attribute(t, attr, tag)),
+        lambda target: target.isNotNull(),
     )
 
 

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions import hrefs, link_host, link_kind, value_counts
+from pagesieve.functions import link_host, link_kind, start_tags, targets, value_counts
 
 _KEYS = {"kind": link_kind, "host": link_host}
 
 
-def explode_links(pages: DataFrame, targets: Column) -> DataFrame:
+def explode_links(pages: DataFrame, found: Column) -> DataFrame:
     return pages.select(
-        "page_id", F.inline(value_counts(targets)).alias("href", "n")
+        "page_id", F.inline(value_counts(found)).alias("href", "n")
     ).select(
         "page_id",
         "href",
@@ -28,8 +28,8 @@ def explode_links(pages: DataFrame, targets: Column) -> DataFrame:
     )
 
 
-def count_links(pages: DataFrame, targets: Column, by: str) -> DataFrame:
-    keys = F.transform(targets, _KEYS[by])
+def count_links(pages: DataFrame, found: Column, by: str) -> DataFrame:
+    keys = F.transform(found, _KEYS[by])
     return (
         pages.select(F.inline(value_counts(keys)).alias(by, "n"))
         .groupBy(by)
@@ -39,11 +39,11 @@ def count_links(pages: DataFrame, targets: Column, by: str) -> DataFrame:
 
 def page_links(pages: DataFrame, tag: str = "a", attr: str = "href") -> DataFrame:
     """``page_id, href, kind, host, n``, one row per page and distinct target."""
-    return explode_links(pages, hrefs(pages.html, tag, attr))
+    return explode_links(pages, targets(start_tags(pages.html, tag), tag, attr))
 
 
 def link_counts(
     pages: DataFrame, by: str, tag: str = "a", attr: str = "href"
 ) -> DataFrame:
     """``kind`` or ``host``, with ``n_links, n_pages``."""
-    return count_links(pages, hrefs(pages.html, tag, attr), by)
+    return count_links(pages, targets(start_tags(pages.html, tag), tag, attr), by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions import language, named_meta, title
+from pagesieve.functions import language, named_meta, start_tags, title
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -17,4 +17,4 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 def named_meta_tags(pages: DataFrame) -> DataFrame:
     """``page_id, name, content``, one row per named meta tag."""
-    return pages.select("page_id", F.inline(named_meta(pages.html)))
+    return pages.select("page_id", F.inline(named_meta(start_tags(pages.html, "meta"))))

@@ -13,19 +13,27 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions import hrefs, language, named_meta, title, visible_text
+from pagesieve.functions import (
+    language,
+    named_meta,
+    start_tags,
+    targets,
+    title,
+    visible_text,
+)
 from pagesieve.operators.links import count_links, explode_links
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """``page_id, lang, title, meta, hrefs, text``, one row per page, no shuffle."""
     html = pages.html
-    return pages.select(
+    tags = F.col("tags")
+    return pages.select("page_id", html, start_tags(html, "a", "meta").alias("tags")).select(
         "page_id",
         language(html).alias("lang"),
         title(html).alias("title"),
-        named_meta(html).alias("meta"),
-        hrefs(html).alias("hrefs"),
+        named_meta(tags).alias("meta"),
+        targets(tags).alias("hrefs"),
         visible_text(html).alias("text"),
     )
 

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from helpers import apply, pages
 from pagesieve.functions import (
     attribute,
-    hrefs,
     language,
     named_meta,
+    start_tags,
+    targets,
     title,
     value_counts,
     visible_text,
 )
 
 
+def hrefs(html):
+    return targets(start_tags(html, "a"))
+
+
 def test_attribute(spark):
     cases = {
         'a href="x"': "x",
@@ -68,7 +73,7 @@ def test_named_meta(spark):
         <META property='og:title' content='it&apos;s "q" &gt; 1' />
         <meta content="9" property="og:n"><meta name="empty">
         <!-- <meta name="no" content="no"> --><script>'<meta name="no">'</script>"""
-    assert apply(spark, named_meta, [html]) == [
+    assert apply(spark, lambda h: named_meta(start_tags(h, "meta", "a")), [html]) == [
         [("viewport", "width=1, x=2"), ("og:title", "it's \"q\" > 1"), ("og:n", "9"),
          ("empty", None)]
     ]
@@ -199,7 +204,7 @@ def test_hostile_markup_takes_linear_time(spark, name):
     df = pages(spark, HOSTILE[name])
     started = time.time()
     (row,) = df.select(
-        language(df.html), title(df.html), named_meta(df.html),
+        language(df.html), title(df.html), named_meta(start_tags(df.html, "meta")),
         value_counts(hrefs(df.html)).alias("links"), visible_text(df.html),
     ).collect()
     assert time.time() - started < 30
