@@ -37,18 +37,20 @@ def _element(name: str) -> str:
     return rf"{name}[\s/>]{content(name)}(?:</{name}[^<>]*+>?+)?+"
 
 
-# All of these come after a "<".
+# The rest of a tag after its name. A quote counts only after "=".
+_TAG_BODY = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>?"""
+
+# These come after a "<". What is no part of the page's text ...
 _HIDDEN = "|".join(
     [
         rf"!--(?:-?>|{until('-', '-!?>')}(?:--!?>)?+)",
         _element("script"),
         _element("style"),
+        _element("title"),
     ]
 )
-_TITLE = _element("title")
-
-# The rest of a tag after its name. A quote counts only after "=".
-_TAG_BODY = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>?"""
+# ... and any tag, taken whole, as a quoted value may hold markup of its own.
+_TAG = rf"[/!?a-z]{_TAG_BODY}"
 
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
 _ATTRIBUTE = rf"[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+"
@@ -68,21 +70,21 @@ def first_group(text: Column, pattern: str) -> Column:
     return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
+def _up_to(name: str) -> str:
+    """Everything before the next start tag of ``name``, or to the end."""
+    return rf"(?i)(?:[^<]++|<(?!{name}[\s/>])(?:{_HIDDEN}|{_TAG})?+)*+"
+
+
 def start_tags(html: Column, *names: str) -> Column:
     """``array<string>``: the start tags of the given names, from name to ">"."""
-    wanted = rf"(?:{'|'.join(names)})[\s/>]{_TAG_BODY}"
-    # A skipped span gives an empty group.
+    name = rf"(?:{'|'.join(names)})"
     found = F.regexp_extract_all(
-        html, F.lit(rf"(?i)<(?:{_HIDDEN}|{_TITLE}|({wanted}))"), F.lit(1)
+        html, F.lit(rf"{_up_to(name)}(?:<({name}[\s/>]{_TAG_BODY})|\z)"), F.lit(1)
     )
+    # The match that reaches the end has an empty group.
     return F.filter(found, lambda tag: tag != "")
 
 
-def _after_first(name: str, skip: str) -> str:
-    """Everything up to and including the "<" of the first start tag of one name."""
-    return rf"(?i)\A(?:[^<]++|<(?:{skip})|<(?!{name}[\s/>]))*+<"
-
-
 def attribute(tag: Column, name: str, of: str = r"[^\s/>]++") -> Column:
     """The decoded, trimmed value of one attribute of a start tag.
 
@@ -116,17 +118,18 @@ def class_tag(name: str, cls: str) -> str:
 
 def language(html: Column) -> Column:
     """The ``lang`` attribute of the root element."""
-    before = _after_first("html", f"{_HIDDEN}|{_TITLE}")
-    return attribute(F.regexp_extract(html, rf"{before}(html[\s/>]{_TAG_BODY})", 1), "lang")
+    pattern = rf"\A{_up_to('html')}<(html[\s/>]{_TAG_BODY})"
+    return attribute(F.regexp_extract(html, pattern, 1), "lang")
 
 
 def title(html: Column) -> Column:
     """The text of the first title element, NULL where the page has none."""
-    before = _after_first("title", _HIDDEN)
-    pattern = rf"{before}title(?:[\s/][^>]*+)?(>{content('title')})"
+    pattern = rf"\A{_up_to('title')}<title(?:[\s/][^>]*+)?(>{content('title')})"
     return let(
         F.regexp_extract(html, pattern, 1),
-        lambda found: F.when(found != "", _tidy(decode_entities(F.substr(found, F.lit(2))))),
+        lambda found: F.when(
+            found != "", _tidy(decode_entities(F.substr(found, F.lit(2))))
+        ),
     )
 
 
@@ -155,13 +158,21 @@ def targets(tags: Column, tag: str = "a", attr: str = "href") -> Column:
     )
 
 
+def cut_at(html: Column, start: str) -> Column:
+    """``array<string>``: the page cut before every start tag that ``start`` matches;
+    what comes before the first one is left out."""
+    rest = rf"(?:[^<]++|(?!{start})<(?i:{_TAG})?+)*+"
+    pieces = F.regexp_extract_all(html, F.lit(rf"({start}{rest})|{rest}"), F.lit(1))
+    return F.filter(pieces, lambda piece: piece != "")
+
+
 def visible_text(markup: Column) -> Column:
     """The text of a page, or of a piece of one, without scripts, styles, comments
     and title. A tag becomes a space, so words on its two sides stay apart."""
-    pattern = rf"(?i)<(?:{_HIDDEN}|{_TITLE}|[/!?a-z]{_TAG_BODY})"
+    pattern = rf"(?i)<(?:{_HIDDEN}|{_TAG})"
     return _tidy(decode_entities(F.regexp_replace(markup, pattern, " ")))
 
 
 def drop_hidden(html: Column) -> Column:
-    """The page without comments, scripts and styles."""
-    return F.regexp_replace(html, rf"(?i)<(?:{_HIDDEN})", " ")
+    """The page without comments, scripts, styles and title."""
+    return F.regexp_replace(html, rf"(?i)<(?:{_HIDDEN})|(<{_TAG})", "$1")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions import drop_hidden, visible_text
-from pagesieve.functions.markup import class_tag, content, first_group
+from pagesieve.functions.markup import class_tag, content, cut_at, first_group
 
 
 @dataclass(frozen=True)
@@ -41,18 +41,17 @@ def page_rows(pages: DataFrame, pattern: RowPattern) -> DataFrame:
     A row reaches from its start tag to the next one. Most pages of a crawl have
     no such row; the filter drops them before anything else is done.
     """
-    pieces = F.split(drop_hidden(pages.html), pattern.row)
+    pieces = cut_at(drop_hidden(pages.html), pattern.row)
 
     def part(regex: str) -> Column:
         return visible_text(first_group(F.col("piece"), regex))
 
     return (
         pages.filter(pages.html.rlike(pattern.row))
-        .select("page_id", F.posexplode(pieces).alias("piece_no", "piece"))
-        .filter("piece_no > 0")
+        .select("page_id", F.posexplode(pieces).alias("pos", "piece"))
         .select(
             "page_id",
-            (F.col("piece_no") - 1).alias("pos"),
+            "pos",
             part(pattern.name).alias("name"),
             part(pattern.value).alias("value"),
         )

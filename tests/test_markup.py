@@ -60,6 +60,7 @@ def test_language_and_title(spark):
         '<html xml:lang="no" data-lang="no"><title></title>': (None, ""),
         "<html lang='he'><title>never closed": ("he", "never closed"),
         "<htmlx lang='no'><titles>no</titles>": (None, None),
+        """<p title="<title>no</title><html lang='no'><!--"><html lang=x><title>t""": ("x", "t"),
         "plain": (None, None),
         "": (None, None),
         None: (None, None),
@@ -90,6 +91,7 @@ def test_visible_text(spark):
         "1 < 2 and <3 &lt;b&gt;": "1 < 2 and <3 <b>",
         "a &nbsp; \n\t b": "a b",
         "a<script>never closed": "a",
+        """<p title="<!-- ">b<p title='<script>'>c""": "b c",
         "a<!-- never closed": "a",
         "a<b class=": "a",
         "<p>a</p": "a",
@@ -149,7 +151,8 @@ def _random_page(rng):
         '<a title="href=/no" data-href="/no" href="/real">', "<a name='n'>", "<img src='i.png'>",
         "<!-- <a href='/no'>no</a> -->", "<script>var a='<a href=\"/no\">';</script>",
         "<style>a > b {}</style>", "<title>t <b> t</title>", '<p title="a > b">',
-        "<script>if (a < b) {} <!-- x</script>",
+        "<script>if (a < b) {} <!-- x</script>", '<p title="<!-- x">',
+        """<img alt='<a href="/no">' src="<script>">""", '<p data-x="<style>">',
     ]
     return "<body>" + "".join(rng.choices(pieces, k=rng.randint(0, 60))) + "</body>"
 

@@ -62,6 +62,7 @@ def test_rows_are_found_in_untidy_markup(spark):
         spark,
         """<!-- <li class="r"><b class="n">no</b><i class="v">$1</i> -->
         <script>'<li class="r"><b class="n">no</b><i class="v">$1</i>'</script>
+        <p title="<!-- <li class='r'>"><p title='<script>'>
         <LI id=x CLASS='big r'><div><b class=n>one<br>two</b></div><div><i class="v w">$<u>2</u></i></div>
         <li class="rr"><b class="n">no</b><li class="r-x"><b class="n">no</b>
         <li class=r><b class="nn">no</b><b class="n">three <i class="v">$3+</i>""",
