@@ -70,18 +70,13 @@ def first_group(text: Column, pattern: str) -> Column:
     return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
-def _up_to(name: str) -> str:
-    """Everything before the next start tag of ``name``, or to the end."""
-    return rf"(?i)(?:[^<]++|<(?!{name}[\s/>])(?:{_HIDDEN}|{_TAG})?+)*+"
-
-
 def start_tags(html: Column, *names: str) -> Column:
     """``array<string>``: the start tags of the given names, from name to ">"."""
-    name = rf"(?:{'|'.join(names)})"
+    wanted = rf"(?:{'|'.join(names)})[\s/>]{_TAG_BODY}"
     found = F.regexp_extract_all(
-        html, F.lit(rf"{_up_to(name)}(?:<({name}[\s/>]{_TAG_BODY})|\z)"), F.lit(1)
+        html, F.lit(rf"(?i)<(?:{_HIDDEN}|({wanted})|{_TAG})"), F.lit(1)
     )
-    # The match that reaches the end has an empty group.
+    # Everything else that was matched has an empty group.
     return F.filter(found, lambda tag: tag != "")
 
 
@@ -116,15 +111,20 @@ def class_tag(name: str, cls: str) -> str:
     )
 
 
+def _up_to(name: str) -> str:
+    """Everything before the next start tag of ``name``, from the top of the page."""
+    return rf"(?i)\A(?:[^<]++|<(?!{name}[\s/>])(?:{_HIDDEN}|{_TAG})?+)*+"
+
+
 def language(html: Column) -> Column:
     """The ``lang`` attribute of the root element."""
-    pattern = rf"\A{_up_to('html')}<(html[\s/>]{_TAG_BODY})"
+    pattern = rf"{_up_to('html')}<(html[\s/>]{_TAG_BODY})"
     return attribute(F.regexp_extract(html, pattern, 1), "lang")
 
 
 def title(html: Column) -> Column:
     """The text of the first title element, NULL where the page has none."""
-    pattern = rf"\A{_up_to('title')}<title(?:[\s/][^>]*+)?(>{content('title')})"
+    pattern = rf"{_up_to('title')}<title(?:[\s/][^>]*+)?(>{content('title')})"
     return let(
         F.regexp_extract(html, pattern, 1),
         lambda found: F.when(
