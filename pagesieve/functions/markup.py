@@ -162,7 +162,7 @@ def cut_at(html: Column, start: str) -> Column:
     """``array<string>``: the page cut before every start tag that ``start`` matches;
     what comes before the first one is left out."""
     rest = rf"(?:[^<]++|(?!{start})<(?i:{_TAG})?+)*+"
-    pieces = F.regexp_extract_all(html, F.lit(rf"({start}{rest})|{rest}"), F.lit(1))
+    pieces = F.regexp_extract_all(html, F.lit(rf"((?:{start}){rest})|{rest}"), F.lit(1))
     return F.filter(pieces, lambda piece: piece != "")
 
 

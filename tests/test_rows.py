@@ -77,8 +77,8 @@ def test_rows_are_found_in_untidy_markup(spark):
 
 
 def test_patterns_are_free(spark):
-    pattern = RowPattern(r"<tr>", r"<td>([^<]*)</td>", r"<td>[^<]*</td><td>([^<]*)</td>")
-    df = pages(spark, "<tr><td>a</td><td>€7</td></tr><tr><td>b</td><td>€8</td></tr>")
+    pattern = RowPattern(r"<tr>|<row>", r"<td>([^<]*)</td>", r"<td>[^<]*</td><td>([^<]*)</td>")
+    df = pages(spark, "<tr><td>a</td><td>€7</td></tr><row><td>b</td><td>€8</td></row>")
     assert tuples(price_rows(df, pattern)) == [
         (0, 0, "a", "€", Decimal("7.00"), False), (0, 1, "b", "€", Decimal("8.00"), False),
     ]
