@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from helpers import tuples
+from pagesieve import operators as op
+from pagesieve.sources import HOURS_PATTERN, PRICE_PATTERN, read_pages, rendered_pages
 
 SF_DIRS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
@@ -37,3 +40,11 @@ def test_query_matches_sql(spark, name, sf_dir):
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["page_id", "href", "kind", "host", "n"]
+
+
+def test_rows_of_a_mixed_crawl_come_from_the_pages_that_have_them(spark):
+    crawl = read_pages(spark, f"{SF_DIRS[0]}/pages.parquet")
+    shops = rendered_pages(spark.read.parquet(f"{SF_DIRS[0]}/part.parquet"))
+    for job, pattern in ((op.price_rows, PRICE_PATTERN), (op.opening_hours, HOURS_PATTERN)):
+        assert job(crawl, pattern).isEmpty()
+        assert tuples(job(crawl.union(shops), pattern)) == tuples(job(shops, pattern))
