@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagesieve.operators.rows import RowPattern, page_rows
 
 # Currency sign before or after the number; a trailing "+" means "from".
-_PRICE = r"\A([^\d\s+]*)\s*(\d[\d,]*(?:\.\d+)?)\s*([^\d\s+]*)\s*(\+?)\z"
+_PRICE = r"\A([^\d\s+]*+)\s*+(\d[\d,]*+(?:\.\d++)?+)\s*+([^\d\s+]*+)\s*+(\+?+)\z"
 
 
 def price_rows(pages: DataFrame, pattern: RowPattern) -> DataFrame:

@@ -1,7 +1,9 @@
 """Price rows and opening hours."""
 
-from decimal import Decimal
 import time
+from decimal import Decimal
+
+from pyspark.sql import functions as F
 
 from helpers import pages, tuples
 from pagesieve.operators import RowPattern, class_rows, opening_hours, price_rows
@@ -132,7 +134,12 @@ def test_hostile_rows_take_linear_time(spark):
         '<li class="' + " r" * n,
         '<li class="r"><b class="n">' + "<b " * n,
         _markup([("x", "1")] * n),
+        _markup([("x", "1" + "," * n + "x1"), ("x", "$" * n), ("x", "1 " * n)]),
     )
     started = time.time()
-    assert price_rows(df, ROWS).count() >= 2 * n + 1
+    result = price_rows(df, ROWS)
+    # Ask for every column, or the patterns for it are never run.
+    counted = result.agg(F.count("*"), *(F.count(c) for c in result.columns)).first()
+    # n + 1 + n + 3 rows; a class whose quote never closes is none.
+    assert counted[0] == 2 * n + 4
     assert time.time() - started < 60
