@@ -23,12 +23,29 @@ from pagesieve.sources import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+try:
+    from pagesieve.llm.queries import ORACLE_SQL as LLM_SQL
+    from pagesieve.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:  # the subpackage may be absent as a whole
+    if not str(missing.name).startswith("pagesieve.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Links of every page of the smallest data set."""
     return queries()["page_links"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
+    return library_queries() | LLM_QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return library_sql() | LLM_SQL
+
+
+def library_queries() -> dict[str, Query]:
     def on_pages(job: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, sf_dir: job(
             spread(read_pages(spark, f"{sf_dir}/pages.parquet"))
@@ -110,7 +127,7 @@ def _rendered_counts(key: str) -> str:
     """
 
 
-def oracle_sql() -> dict[str, str]:
+def library_sql() -> dict[str, str]:
     return {
         "page_metadata": f"""
             SELECT page_id,

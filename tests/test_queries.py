@@ -19,17 +19,17 @@ def _rows(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert contract.library_queries().keys() == contract.library_sql().keys()
 
 
 @pytest.mark.parametrize("sf_dir", SF_DIRS)
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.library_queries()))
 def test_query_matches_sql(spark, name, sf_dir):
-    result = contract.queries()[name](spark, sf_dir)
+    result = contract.library_queries()[name](spark, sf_dir)
     with duckdb.connect() as db:
         for table in ("pages", "part"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
-        expected = db.execute(contract.oracle_sql()[name])
+        expected = db.execute(contract.library_sql()[name])
         columns = [c[0] for c in expected.description]
         rows = expected.fetchall()
     assert sorted(result.columns) == sorted(columns)
