@@ -46,7 +46,8 @@ _STATES = 10
 #: White space outside ASCII, as the pattern understands it.
 _WHITE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _COLUMN = 64
-_CACHE = 500_000
+_CACHE = 250_000
+_PART_BYTES = 4 << 20
 _LONG = 64
 _NEVER = 1 << 62
 
@@ -317,35 +318,39 @@ def _grouped(texts: list[str], most: int) -> Iterator[list[str]]:
 
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of a few megabytes, so that a worker's memory stays small."""
+    rows = max(1, int(batch.num_rows * _PART_BYTES // max(batch.nbytes, 1)))
+    for begin in range(0, batch.num_rows, rows):
+        yield batch.slice(begin, rows)
+
+
 def encode(
-    docs: DataFrame, path: str, *, text: str = "text", drop_text: bool = False
+    docs: DataFrame, path: str, *, text: str = "text", drop_text: bool = False, offsets: bool = True
 ) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids`` and ``offsets`` (see above)."""
-    new = [
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids", T.BinaryType()),
-        T.StructField("offsets", T.BinaryType()),
-    ]
-    names = {f.name for f in new} - {text}
-    docs = docs.select(*(c for c in docs.columns if c not in names))
-    kept = [f for f in docs.schema.fields if not (drop_text and f.name == text)]
-    schema = T.StructType([f for f in kept if f.name not in ("n_tokens", "ids", "offsets")] + new)
+    """``docs`` with ``n_tokens``, ``ids`` and, if wanted, ``offsets`` (see above)."""
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    new += [T.StructField("offsets", T.BinaryType())] if offsets else []
+    names = {"n_tokens", "ids", "offsets"}
+    docs = docs.select(*(c for c in docs.columns if c == text or c not in names))
+    dropped = names | ({text} if drop_text else set())
+    kept = [f for f in docs.schema.fields if f.name not in dropped]
+    schema = T.StructType(kept + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _vocabulary(path)[1]
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            counts, ids, offsets = [], [], []
-            for row in encode_texts(texts, path):
+        for batch in chain.from_iterable(map(_parts, batches)):
+            counts, ids, places = [], [], []
+            for row in encode_texts([t or "" for t in batch.column(text).to_pylist()], path):
                 counts.append(len(row))
                 ids.append(row.tobytes())
-                size = lengths[row]
-                offsets.append((np.cumsum(size) - size).astype("<u4").tobytes())
-            columns = [batch.column(f.name) for f in schema.fields[: -len(new)]]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())],
-                names=schema.fieldNames(),
-            )
+                if offsets:
+                    size = lengths[row]
+                    places.append((np.cumsum(size) - size).astype("<u4").tobytes())
+            columns = [batch.column(f.name) for f in kept]
+            columns += [pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
+            columns += [pa.array(places, pa.binary())] if offsets else []
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
@@ -357,7 +362,7 @@ def decode(tokens: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(path)[0]
-        for batch in batches:
+        for batch in chain.from_iterable(map(_parts, batches)):
             out = [
                 b"".join(map(words.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
                 for x in batch.column(ids).to_pylist()

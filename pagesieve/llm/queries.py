@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import bpe, chat, mixing, quality, url_rules, warc
+from pagesieve.llm import bpe, chat, cover_tree, minhash, mixing, quality, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """Documents encoded, decoded again, and both as digests."""
-    tokens = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, drop_text=True)
+    tokens = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, drop_text=True, offsets=False)
     decoded = bpe.decode(tokens.select("doc_id", "n_tokens", "ids"), VOCABULARY)
     return decoded.select(
         "doc_id",
@@ -56,6 +56,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -92,6 +100,8 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_cover_tree": op2_cover_tree,
+    "op3_minhash": op3_minhash,
     "op5_warc_dictionary": op5_warc_dictionary,
     "op6_chat_examples": op6_chat_examples,
     "op7_mix": op7_mix,
