@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import bpe, chat, cover_tree, minhash, mixing, quality, url_rules, warc
+from pagesieve.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeats(docs).select("doc_id", "text", "lines.*")
+
+
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_cover_tree": op2_cover_tree,
     "op3_minhash": op3_minhash,
+    "op4_line_alignment": op4_line_alignment,
     "op5_warc_dictionary": op5_warc_dictionary,
     "op6_chat_examples": op6_chat_examples,
     "op7_mix": op7_mix,
