@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, url_rules, warc
+from pagesieve.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, suffix_dedup, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +103,13 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_cover_tree": op2_cover_tree,
@@ -113,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op7_mix": op7_mix,
     "op8_quality_divergence": op8_quality_divergence,
     "op9_url_rules": op9_url_rules,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {}
