@@ -24,10 +24,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 try:
+    import corpus_pipeline
     from pagesieve.llm.queries import ORACLE_SQL as LLM_SQL
-    from pagesieve.llm.queries import QUERIES as LLM_QUERIES
+    from pagesieve.llm.queries import QUERIES
+
+    LLM_QUERIES = QUERIES | {"pipeline": corpus_pipeline.run}
 except ModuleNotFoundError as missing:  # the subpackage may be absent as a whole
-    if not str(missing.name).startswith("pagesieve.llm"):
+    if not str(missing.name).startswith(("corpus_pipeline", "pagesieve.llm")):
         raise
     LLM_QUERIES, LLM_SQL = {}, {}
 
