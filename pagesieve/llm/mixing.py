@@ -41,10 +41,10 @@ _NUMBER = "decimal(38,0)"
 
 @dataclass(frozen=True)
 class Level:
-    """One level of the tree: a column, and the weights of its values."""
+    """One level of the tree: a SQL expression, and the weights of its values."""
 
     name: str
-    value: Column
+    value: str
     weights: Mapping[str, int] = field(default_factory=dict)
     default: int = 1
 
@@ -159,7 +159,7 @@ def selected(
     docs = docs.drop(into) if into not in (doc_id, text) else docs
     names = [level.name for level in levels]
     m, leaf, where = (fresh_name(docs, x) for x in ("measures", "leaf", "place"))
-    fields = [level.value.alias(level.name) for level in levels]
+    fields = [F.expr(level.value).alias(level.name) for level in levels]
     counted = docs.withColumn(m, F.struct(*fields, token_count(F.col(text)).alias("n_tokens")))
     counted = counted.withColumn(leaf, F.to_json(F.struct(*(F.col(m)[n].alias(n) for n in names))))
     counted = stored(counted, "mixing-tokens")

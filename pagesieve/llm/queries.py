@@ -27,11 +27,11 @@ LISTED = (
 MIX = (
     mixing.Level(
         "domain",
-        F.concat(F.lit("domain"), F.regexp_extract(F.col("source"), "([0-9]{1,9})$", 1).try_cast("long") % 4),
+        "concat('domain', try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS BIGINT) % 4)",
         {"domain0": 4, "domain1": 3, "domain2": 2},
     ),
-    mixing.Level("lang", F.col("lang"), {"en": 4, "de": 2, "fr": 2}),
-    mixing.Level("source", F.col("source"), {"src0": 2}),
+    mixing.Level("lang", "lang", {"en": 4, "de": 2, "fr": 2}),
+    mixing.Level("source", "source", {"src0": 2}),
 )
 MIX_OPTIONS = {"percent": 60, "epochs": 2, "seed": 7}
 
