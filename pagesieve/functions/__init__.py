@@ -4,7 +4,6 @@ from pagesieve.functions.arrays import let, value_counts
 from pagesieve.functions.entities import decode_entities
 from pagesieve.functions.markup import (
     attribute,
-    drop_hidden,
     language,
     named_meta,
     start_tags,
@@ -17,7 +16,6 @@ from pagesieve.functions.urls import link_host, link_kind
 __all__ = [
     "attribute",
     "decode_entities",
-    "drop_hidden",
     "language",
     "let",
     "link_host",

@@ -11,24 +11,27 @@ from pagesieve.functions.arrays import let
 
 REPLACEMENT = "�"
 
-# A reference without its "&": decimal, hexadecimal or named, with the ";". The
-# longest one has 33 characters.
-_REFERENCE = r"\A(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# A reference without its "&": decimal, hexadecimal or named, with the ";".
+_REFERENCE = r"\A(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]{1,31}+);"
 
 
-def _table() -> Column:
-    """Named references, and the numbers that browsers read as windows-1252."""
-    names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-    names |= {name: html5[f"{name};"] for name in name2codepoint}
-    for number in range(128, 160):
-        char = bytes([number]).decode("cp1252", errors="ignore")
-        if char:
-            names[str(number)] = char
+def _table(chars: dict[str, str]) -> Column:
     # One literal, folded into a constant map, keeps plans small.
-    lines = "\n".join(f"{name}\t{char}" for name, char in names.items())
+    lines = "\n".join(f"{name}\t{char}" for name, char in chars.items())
     return F.str_to_map(F.lit(lines), F.lit("\n"), F.lit("\t"))
 
 
+def _named() -> Column:
+    names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+    return _table(names | {name: html5[f"{name};"] for name in name2codepoint})
+
+
+def _windows() -> Column:
+    """The numbers from 128 to 159 that browsers read as windows-1252."""
+    chars = {str(n): bytes([n]).decode("cp1252", errors="ignore") for n in range(128, 160)}
+    return _table({number: char for number, char in chars.items() if char})
+
+
 def _from_code_point(point: Column) -> Column:
     valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
     utf32 = F.unhex(F.lpad(F.hex(point), 8, "0"))
@@ -42,27 +45,31 @@ def decode_entities(text: Column) -> Column:
     becomes ``&lt;`` and not ``<``. References without ";" and unknown names stay
     as they are.
     """
-    table = _table()
+    named, windows = _named(), _windows()
 
     def piece(part: Column, i: Column) -> Column:
-        start = F.substring(part, 1, 33)
-        found = F.regexp_extract_all(start, F.lit(_REFERENCE), F.lit(0))
-        return F.when(i == 0, part).otherwise(
-            let(F.get(found, F.lit(0)), lambda ref: decoded(part, ref))
-        )
+        found = F.nullif(F.regexp_extract(part, _REFERENCE, 0), F.lit(""))
+        return F.when(i == 0, part).otherwise(let(found, lambda ref: decoded(part, ref)))
 
     def decoded(part: Column, ref: Column) -> Column:
         name = F.substring_index(ref, ";", 1)
+        hexadecimal = F.lower(F.left(name, F.lit(2))) == "#x"
+        digits = F.regexp_replace(name, r"\A#[xX]?+0*+", "")
+        # A number too long to be a code point is none, like 0.
         number = (
-            F.when(F.lower(F.left(name, F.lit(2))) == "#x",
-                   F.conv(F.substring(name, 3, 6), 16, 10))
-            .when(F.left(name, F.lit(1)) == "#", F.substring(name, 2, 7))
+            F.when(F.length(digits) > 7, F.lit("0"))
+            .when(hexadecimal, F.conv(digits, 16, 10))
+            .otherwise(digits)
             .try_cast("int")
         )
-        char = F.coalesce(
-            F.try_element_at(table, F.coalesce(number.cast("string"), name)),
-            F.when(number.isNotNull(), _from_code_point(number)),
+        numeric = let(
+            F.coalesce(number, F.lit(0)),
+            lambda n: F.when(
+                n.between(128, 159),
+                F.coalesce(F.try_element_at(windows, n.cast("string")), _from_code_point(n)),
+            ).otherwise(_from_code_point(n)),
         )
+        char = F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(named, name))
         return F.coalesce(
             F.concat(char, F.substr(part, F.length(ref) + 1)),
             F.concat(F.lit("&"), part),

@@ -47,13 +47,20 @@ _HIDDEN = "|".join(
         _element("script"),
         _element("style"),
         _element("title"),
+        # Markup in these is text, or inert.
+        _element("textarea"),
+        _element("iframe"),
+        _element("xmp"),
+        _element("template"),
     ]
 )
 # ... and any tag, taken whole, as a quoted value may hold markup of its own.
 _TAG = rf"[/!?a-z]{_TAG_BODY}"
 
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
-_ATTRIBUTE = rf"[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+"
+# A name or an unquoted value ends before "<", as a tag does; otherwise each of many
+# open tags would be read to the end of the page.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s<>]++)"""
+_ATTRIBUTE = rf"[\s/]*+[^\s/<>][^\s/<>=]*+(?:\s*+=\s*+{_VALUE})?+"
 
 # White space that is not one plain space.
 _SPACE = r" \t\n\x0B\f\r\xA0"
@@ -66,8 +73,12 @@ def _tidy(text: Column) -> Column:
 
 
 def first_group(text: Column, pattern: str) -> Column:
-    """Group 1 of the first match of ``pattern``, NULL where there is none."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
+    """Group 1 of the first match of ``pattern``, NULL where there is none.
+
+    Where the group is empty, a second look tells an empty match from none.
+    """
+    found = F.regexp_extract(text, pattern, 1)
+    return let(found, lambda x: F.when((x != "") | text.rlike(pattern), x))
 
 
 def start_tags(html: Column, *names: str) -> Column:
@@ -160,8 +171,9 @@ def targets(tags: Column, tag: str = "a", attr: str = "href") -> Column:
 
 def cut_at(html: Column, start: str) -> Column:
     """``array<string>``: the page cut before every start tag that ``start`` matches;
-    what comes before the first one is left out."""
-    rest = rf"(?:[^<]++|(?!{start})<(?i:{_TAG})?+)*+"
+    what comes before the first one is left out. Comments, scripts and the like are
+    read over, so a start tag inside of them cuts nothing."""
+    rest = rf"(?:[^<]++|<(?i:{_HIDDEN})|(?!{start})<(?i:{_TAG})?+)*+"
     pieces = F.regexp_extract_all(html, F.lit(rf"((?:{start}){rest})|{rest}"), F.lit(1))
     return F.filter(pieces, lambda piece: piece != "")
 
@@ -171,8 +183,3 @@ def visible_text(markup: Column) -> Column:
     and title. A tag becomes a space, so words on its two sides stay apart."""
     pattern = rf"(?i)<(?:{_HIDDEN}|{_TAG})"
     return _tidy(decode_entities(F.regexp_replace(markup, pattern, " ")))
-
-
-def drop_hidden(html: Column) -> Column:
-    """The page without comments, scripts, styles and title."""
-    return F.regexp_replace(html, rf"(?i)<(?:{_HIDDEN})|(<{_TAG})", "$1")

@@ -1,5 +1,5 @@
 from pagesieve.operators.hours import opening_hours
-from pagesieve.operators.links import link_counts, page_links
+from pagesieve.operators.links import link_counts, page_images, page_links
 from pagesieve.operators.metadata import named_meta_tags, page_metadata
 from pagesieve.operators.prices import price_rows
 from pagesieve.operators.rows import RowPattern, class_rows
@@ -11,6 +11,7 @@ __all__ = [
     "link_counts",
     "named_meta_tags",
     "opening_hours",
+    "page_images",
     "page_links",
     "page_metadata",
     "page_text",

@@ -1,23 +1,74 @@
-"""Opening hours, one row per weekday. No shuffle and no join."""
+"""Opening hours, one row per weekday and span of hours. No shuffle and no join."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.operators.rows import RowPattern, page_rows
 
-# Hebrew day letters (with geresh) and day names, 1 = Sunday.
+# Hebrew day letters and day names, 1 = Sunday.
 HEBREW_DAYS = {
-    "א׳": 1, "ב׳": 2, "ג׳": 3, "ד׳": 4, "ה׳": 5, "ו׳": 6, "ש׳": 7,
+    "א": 1, "ב": 2, "ג": 3, "ד": 4, "ה": 5, "ו": 6, "ש": 7,
     "ראשון": 1, "שני": 2, "שלישי": 3, "רביעי": 4, "חמישי": 5, "שישי": 6, "שבת": 7,
 }
 HEBREW_CLOSED = "סגור"
+HEBREW_DAY_WORDS = ("יום", "ימים", "ימי")
 
-_DASH = r"\s*[–-]\s*"
-_TIMES = rf"\A(\d{{1,2}})(?::00)?{_DASH}(\d{{1,2}})(?::00)?\z"
+# Marks after a letter that stands for a day: geresh and what is typed for it.
+_MARKS = "[׳'’`´]"
+_DASH = r"\s*[–—-]\s*"
+_LIST = r"\s*[,;]\s*"
+_TIME = r"(\d{1,2})(?::(\d{2}))?"
+_SPAN = rf"\A{_TIME}{_DASH}{_TIME}\z"
+
+
+def _days(label: Column, days: Mapping[str, int], day_words: tuple[str, ...]) -> Column:
+    """``array<int>`` of a label: a list of days and ranges, NULL for what is unknown."""
+    bare = lambda text: F.regexp_replace(text, _MARKS, "")
+    keys = (F.lit(x) for name, day in days.items() for x in (_unmarked(name), day))
+    day_of = F.create_map(*keys)
+    words = "|".join(day_words)
+    text = bare(F.regexp_replace(label, rf"\A(?:{words})\s+", "") if words else label)
+
+    def span(part: Column) -> Column:
+        ends = F.split(part, _DASH)
+        first = F.try_element_at(day_of, F.get(ends, F.lit(0)))
+        last = F.try_element_at(day_of, F.get(ends, F.size(ends) - 1))
+        known = first.isNotNull() & last.isNotNull() & (F.size(ends) <= 2)
+        run = F.transform(
+            F.sequence(first, first + F.pmod(last - first, F.lit(7))), lambda d: (d - 1) % 7 + 1
+        )
+        return F.when(known, run).otherwise(F.array(F.lit(None).cast("int")))
+
+    return F.flatten(F.transform(F.split(text, _LIST), span))
+
+
+def _unmarked(name: str) -> str:
+    return "".join(c for c in name if c not in _MARKS[1:-1])
+
+
+def _spans(value: Column, closed_word: str) -> Column:
+    """The spans of hours in a value; a span that cannot be read is all NULL."""
+
+    def span(part: Column) -> Column:
+        number = lambda i: F.regexp_extract(part, _SPAN, i).try_cast("int")
+        minute = lambda i: F.coalesce(number(i), F.lit(0))
+        sound = F.lit(True)
+        for hour, past in ((number(1), minute(2)), (number(3), minute(4))):
+            sound &= (hour * 60 + past <= 24 * 60) & (past < 60)
+        kept = lambda x: F.when(sound & part.rlike(_SPAN), x)
+        return F.struct(
+            kept(number(1)).alias("open_hour"),
+            kept(minute(2)).alias("open_minute"),
+            kept(number(3)).alias("close_hour"),
+            kept(minute(4)).alias("close_minute"),
+            (part == closed_word).alias("closed"),
+        )
+
+    return F.transform(F.split(value, _LIST), span)
 
 
 def opening_hours(
@@ -25,25 +76,25 @@ def opening_hours(
     pattern: RowPattern,
     days: Mapping[str, int] = HEBREW_DAYS,
     closed_word: str = HEBREW_CLOSED,
+    day_words: tuple[str, ...] = HEBREW_DAY_WORDS,
 ) -> DataFrame:
-    """``page_id, dow, open_hour, close_hour, closed``.
+    """``page_id, dow, open_hour, close_hour, closed, open_minute, close_minute``.
 
-    A range of days may run over the end of the week. A label that is not in
-    ``days`` keeps its row, with ``dow`` NULL.
+    A label is a list of days and ranges of days, which may run over the end of the
+    week; one of ``day_words`` may stand before it. What is not in ``days`` keeps its
+    row, with ``dow`` NULL. A value is a list of spans; each is a row for each day.
     """
-    day_of = F.create_map(*(F.lit(x) for pair in days.items() for x in pair))
-    ends = F.split("name", _DASH)
-    first = F.try_element_at(day_of, F.get(ends, F.lit(0)))
-    last = F.try_element_at(day_of, F.get(ends, F.size(ends) - 1))
-    span = F.transform(
-        F.sequence(first, first + F.pmod(last - first, F.lit(7))),
-        lambda day: (day - 1) % 7 + 1,
-    )
-    hour = lambda group: F.regexp_extract("value", _TIMES, group).try_cast("int")
-    return page_rows(pages, pattern).select(
-        "page_id",
-        F.explode_outer(span).alias("dow"),
-        hour(1).alias("open_hour"),
-        hour(2).alias("close_hour"),
-        (F.col("value") == closed_word).alias("closed"),
+    return (
+        page_rows(pages, pattern)
+        .select("page_id", "value", F.explode_outer(_days(F.col("name"), days, day_words)).alias("dow"))
+        .select("page_id", "dow", F.explode_outer(_spans(F.col("value"), closed_word)).alias("span"))
+        .select(
+            "page_id",
+            "dow",
+            "span.open_hour",
+            "span.close_hour",
+            "span.closed",
+            "span.open_minute",
+            "span.close_minute",
+        )
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions import link_host, link_kind, start_tags, targets, value_counts
+from pagesieve.functions import attribute, link_host, link_kind, start_tags, targets, value_counts
 
 _KEYS = {"kind": link_kind, "host": link_host}
 
@@ -42,6 +42,27 @@ def page_links(pages: DataFrame, tag: str = "a", attr: str = "href") -> DataFram
     return explode_links(pages, targets(start_tags(pages.html, tag), tag, attr))
 
 
+def page_images(pages: DataFrame) -> DataFrame:
+    """``page_id, href, kind, host, n, alt``, one row per page and distinct image."""
+    tags = start_tags(pages.html, "img")
+    images = F.transform(
+        tags,
+        lambda t: F.struct(
+            attribute(t, "src", "img").alias("href"), attribute(t, "alt", "img").alias("alt")
+        ),
+    )
+    found = F.filter(images, lambda x: x["href"].isNotNull())
+    href = F.col("image.href")
+    return pages.select("page_id", F.inline(value_counts(found)).alias("image", "n")).select(
+        "page_id",
+        href.alias("href"),
+        link_kind(href).alias("kind"),
+        link_host(href).alias("host"),
+        "n",
+        F.col("image.alt").alias("alt"),
+    )
+
+
 def link_counts(
     pages: DataFrame, by: str, tag: str = "a", attr: str = "href"
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions import drop_hidden, visible_text
+from pagesieve.functions import visible_text
 from pagesieve.functions.markup import class_tag, content, cut_at, first_group
 
 
@@ -39,9 +39,10 @@ def page_rows(pages: DataFrame, pattern: RowPattern) -> DataFrame:
     """``page_id, pos, name, value``: the text of both parts, rows in page order.
 
     A row reaches from its start tag to the next one. Most pages of a crawl have
-    no such row; the filter drops them before anything else is done.
+    no such row; the filter drops them before anything else is done. Patterns from
+    ``class_rows`` take time linear in the page; for others that is up to the caller.
     """
-    pieces = cut_at(drop_hidden(pages.html), pattern.row)
+    pieces = cut_at(pages.html, pattern.row)
 
     def part(regex: str) -> Column:
         return visible_text(first_group(F.col("piece"), regex))

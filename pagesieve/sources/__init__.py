@@ -1,11 +1,3 @@
-from pagesieve.sources.pages import PAGE_SCHEMA, read_pages, spread
-from pagesieve.sources.rendered import HOURS_PATTERN, PRICE_PATTERN, rendered_pages
+from pagesieve.sources.pages import PAGE_SCHEMA, read_pages
 
-__all__ = [
-    "HOURS_PATTERN",
-    "PAGE_SCHEMA",
-    "PRICE_PATTERN",
-    "read_pages",
-    "rendered_pages",
-    "spread",
-]
+__all__ = ["PAGE_SCHEMA", "read_pages"]

@@ -7,17 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use idle cores when the scan yields far fewer partitions than there are.
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """The page table at ``path``.
 
-    Reading markup is bound by the CPU and a Parquet row group cannot be split, so
-    a small table in one row group would run on one core. A table worth a cluster
-    has more partitions than that and passes through without a shuffle; the rows
-    moved are never more than half a wave of tasks.
+    A Parquet row group cannot be split. Where that leaves cores idle, ``partitions``
+    deals the rows out anew; without it the scan's own partitions stay.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE_SCHEMA).parquet(path)
+    pages = spark.read.schema(PAGE_SCHEMA).parquet(path)
+    return pages if partitions is None else pages.repartition(partitions)

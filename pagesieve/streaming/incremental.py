@@ -13,8 +13,18 @@ from pagesieve.plans.one_scan import page_facts
 from pagesieve.sources.pages import PAGE_SCHEMA
 
 
-def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(PAGE_SCHEMA).parquet(folder)
+def stream_pages(
+    spark: SparkSession, folder: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """Page files of ``folder`` as a stream; a file's age is never a reason to skip it.
+
+    ``files_per_batch`` bounds a micro-batch, so that a failure costs one batch and not
+    the whole backlog. The driver keeps the list of the files it has seen.
+    """
+    reader = spark.readStream.schema(PAGE_SCHEMA).option("maxFileAge", "36500d")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def append_facts(pages: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -1,7 +1,9 @@
 """Shape of the plans, the one-scan table, the stream."""
 
 import contextlib
+import glob
 import io
+import os
 import re
 
 import pytest
@@ -10,7 +12,8 @@ import __spark_entry__ as contract
 from helpers import tuples
 from pagesieve import operators as op
 from pagesieve import plans
-from pagesieve.sources import HOURS_PATTERN, PRICE_PATTERN, read_pages, rendered_pages, spread
+from pagesieve.sources import read_pages
+from rendered import HOURS_PATTERN, PRICE_PATTERN, rendered_pages
 from pagesieve.streaming import append_facts, stream_pages
 
 SF = "/root/testdata/sf0.001"
@@ -55,12 +58,16 @@ def test_filter_reaches_the_scan(spark):
     assert "LessThan(page_id,10)" in plan
 
 
-def test_spread_only_when_cores_would_idle(spark):
-    cores = spark.sparkContext.defaultParallelism
-    small = spark.range(10).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() == cores
-    wide = spark.range(10).repartition(cores)
-    assert spread(wide) is wide
+def test_registered_queries_shuffle_for_counts_only(spark):
+    for name, query in contract.library_queries().items():
+        exchanges = len(re.findall(r"^\(\d+\) Exchange", _plan(query(spark, SF)), flags=re.M))
+        assert exchanges == ("counts" in name), name
+
+
+def test_partitions_are_the_callers_choice(spark):
+    path = f"{SF}/pages.parquet"
+    assert read_pages(spark, path, 5).rdd.getNumPartitions() == 5
+    assert "Exchange" not in _plan(read_pages(spark, path))
 
 
 @pytest.fixture(params=["pages", "rendered"])
@@ -104,6 +111,20 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     _same_outputs(facts, pages)
 
 
+def test_stream_takes_late_files_in_small_batches(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / d) for d in ("in", "out", "checkpoint"))
+    pages = read_pages(spark, f"{SF}/pages.parquet")
+    for batch in ("page_id < 20", "page_id >= 20"):
+        known = set(glob.glob(f"{source}/*.parquet"))
+        pages.filter(batch).coalesce(1).write.mode("append").parquet(source)
+        if known:  # the later file is dated 30 days before the first
+            (late,) = set(glob.glob(f"{source}/*.parquet")) - known
+            past = os.path.getmtime(next(iter(known))) - 30 * 86_400
+            os.utime(late, (past, past))
+        append_facts(stream_pages(spark, source, 1), table, checkpoint).awaitTermination()
+    assert spark.read.parquet(table).count() == pages.count()
+
+
 def test_no_query_keeps_part_of_a_table(spark):
     """Every page and every part is in the outputs that have one row per page."""
     for name, table in (("page_metadata", "pages"), ("page_text", "pages"),

@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as contract
 from helpers import tuples
 from pagesieve import operators as op
-from pagesieve.sources import HOURS_PATTERN, PRICE_PATTERN, read_pages, rendered_pages
+from pagesieve.sources import read_pages
+from rendered import HOURS_PATTERN, PRICE_PATTERN, rendered_pages
 
 SF_DIRS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
