@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, suffix_dedup, url_rules, warc
+from pagesieve.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, sql, suffix_dedup, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +70,8 @@ def op4_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages"))
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,4 +124,13 @@ QUERIES: dict[str, Query] = {
     "op10_suffix_array": op10_suffix_array,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_cover_tree": sql.COVER_TREE,
+    "op3_minhash": sql.MINHASH,
+    "op5_warc_dictionary": sql.WARC,
+    "op6_chat_examples": sql.CHAT,
+    "op7_mix": sql.mix(MIX, **MIX_OPTIONS),
+    "op8_quality_divergence": sql.QUALITY,
+    "op9_url_rules": sql.url_verdicts(LISTED),
+    "op10_suffix_array": sql.SUFFIXES,
+}
