@@ -6,7 +6,7 @@ any number of documents makes one pair for each of them and never a pair for eac
 Rare anchors are the stronger evidence: a pair records its rarest one. But no anchor is
 left out for being common, because copies in thousands make their lines common too.
 
-Of each pair the sequences of shared lines are aligned by patience diff: equal lines at
+Of each pair the sequences of lines that both have are aligned by patience diff: equal lines at
 both ends, then the lines that each side has once, longest increasing first, then the
 gaps between them. Runs of aligned lines that are neighbours in both documents are
 blocks; a block of five words or more is deleted from the later document. Alignments are
@@ -101,6 +101,8 @@ def _increasing(of_a: dict, of_b: dict) -> list[tuple[int, int]]:
 
 def deleted_places(a: list[tuple], b: list[tuple]) -> list[int]:
     """Line numbers that b loses to a; rows are (ordinal, line number, words, key)."""
+    both = {x[3] for x in a} & {x[3] for x in b}
+    a, b = ([x for x in side if x[3] in both] for side in (a, b))
     out, block, words = [], [], 0
     previous = (-2, -2)
     for i, j in aligned([x[3] for x in a], [x[3] for x in b]):
