@@ -88,7 +88,7 @@ def shares(nodes: DataFrame, parents: Sequence[str]) -> DataFrame:
                 <= F.col("left") * F.col("weight").cast(_NUMBER)
             ),
         )
-        .withColumn("first_open", F.min(F.when(~F.col("fills"), F.struct("ratio", "left", "weight_left"))).over(group))
+        .withColumn("first_open", F.min(F.when(~F.col("fills") & (F.col("weight") > 0), F.struct("ratio", "left", "weight_left"))).over(group))
         .withColumn(
             "share",
             F.when(F.col("weight") == 0, F.lit(0))
@@ -114,12 +114,16 @@ def leaf_budgets(
     """
     names = [level.name for level in levels]
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    given = None
+    # What lies under a weight of 0 cannot be given out, so it is no capacity either.
+    usable = F.col("tokens")
+    for level in levels:
+        usable = F.when(level.weight() > 0, usable).otherwise(F.lit(0))
+    leaves, plain, given = leaves.withColumn("usable", usable), leaves, None
     for depth, level in enumerate(levels):
         above, here = names[:depth], names[: depth + 1]
         nodes = (
             leaves.groupBy(*here)
-            .agg((F.sum("tokens") * epochs).cast("long").alias("capacity"))
+            .agg((F.sum("usable") * epochs).cast("long").alias("capacity"))
             .withColumn("weight", level.weight())
             .withColumn("node_key", F.col(level.name))
         )
@@ -128,7 +132,7 @@ def leaf_budgets(
         else:
             nodes = _same(nodes, given, above)
         given = shares(nodes, above or [F.lit(0)]).select(*here, F.col("share").alias("budget"))
-    return _same(leaves, given, names).withColumnRenamed("budget", "leaf_budget")
+    return _same(plain, given, names).withColumnRenamed("budget", "leaf_budget")
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -160,7 +160,7 @@ def js_distance(counts: Column, reference: Column) -> Column:
             x,
             lambda v: bound(
                 F.nullif(total(v), F.lit(0).cast("long")),
-                lambda n: body(F.transform(v, lambda y: y.cast("double") / n)),
+                lambda n: F.when(n > 0, body(F.transform(v, lambda y: y.cast("double") / n))),
             ),
         )
 
