@@ -2,11 +2,7 @@ import random
 
 import pytest
 
-WORDS = "the of and to a in is on that by sun moon star tree leaf root branch river stone cloud rain".split()
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+from llm_helpers import prose
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from conftest import prose
+from llm_helpers import prose
 from pagesieve.llm import cover_tree, line_dedup, minhash, suffix_dedup
 
 

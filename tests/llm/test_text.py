@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from conftest import prose
+from llm_helpers import prose
 from pagesieve.llm import chat, mixing, quality, url_rules, warc
 from pagesieve.llm.queries import LISTED
 
