@@ -9,6 +9,7 @@ one-scan table of ``pages`` and have the SQL of the direct jobs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,17 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return library_queries() | LLM_QUERIES
+    return library_queries() | {name: _importable(q) for name, q in LLM_QUERIES.items()}
+
+
+def _importable(query: Query) -> Query:
+    """``query`` with this folder on the path of Python workers, wherever Spark was started."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parent))
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
