@@ -304,10 +304,10 @@ def url_verdicts(rules: tuple[url_rules.ListedRule, ...]) -> str:
 
 
 SUFFIXES = """
-    WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+    WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
     starts AS (
-        SELECT doc_id, i, md5(substr(b, CAST(2 * i + 1 AS BIGINT), 100)) AS s
-        FROM (SELECT doc_id, b, unnest(range(0, length(b) // 2 - 49)) AS i FROM bytes)
+        SELECT doc_id, i, b[i + 1:i + 50] AS s
+        FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS i FROM bytes)
     ),
     firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
     covered AS (SELECT doc_id, i, i + 50 AS j FROM starts JOIN firsts USING (s) WHERE first < doc_id),
@@ -321,11 +321,11 @@ SUFFIXES = """
         UNION ALL SELECT doc_id, max(j), 2147483647 FROM spans GROUP BY doc_id
     ),
     kept AS (
-        SELECT doc_id, string_agg(substr(b, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY a) AS k
+        SELECT doc_id, string_agg(hex(b[a + 1:z]), '' ORDER BY a) AS k
         FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id
     ),
     counts AS (SELECT doc_id, sum(j - i) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
-    SELECT doc_id, CAST(length(b) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-           coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, b))) AS kept_sha256
+    SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(k), b)) AS kept_sha256
     FROM bytes LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
