@@ -54,7 +54,7 @@ SHALLOW = 3
 _WORDS = -(-MATCH // 8)
 _TAIL = np.uint64((1 << 64) - (1 << (8 * (8 * _WORDS - MATCH))))
 _RUN = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("start", "<i8"), ("end", "<i8")])
-_HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("start", "<i8"), ("size", "<u4")])
+_HEAD = np.dtype([("hash", "<u4"), ("doc", "<i8"), ("mark", "<u4"), ("start", "<i8"), ("size", "u1")])
 
 
 def _anchor_hashes(data: np.ndarray) -> np.ndarray:
@@ -100,24 +100,51 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _scan(buckets: int):
-    """Pieces of the documents of a batch, packed by bucket."""
+def packed_heads(heads: np.ndarray) -> bytes:
+    """Heads as planes of bytes, documents as differences: most planes are then all zero."""
+    out = []
+    for name in _HEAD.names:
+        column = heads[name]
+        if name == "doc":
+            column = np.diff(column, prepend=np.int64(0))
+        out.append(np.ascontiguousarray(column).view(np.uint8).reshape(len(heads), -1).T.tobytes())
+    return b"".join(out)
+
+
+def unpacked_heads(data: bytes) -> np.ndarray:
+    """The inverse of ``packed_heads``."""
+    n, at = len(data) // _HEAD.itemsize, 0
+    heads = np.zeros(n, _HEAD)
+    for name in _HEAD.names:
+        kind = _HEAD[name]
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        column = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+        heads[name] = np.cumsum(column) if name == "doc" else column
+        at += n * kind.itemsize
+    return heads
+
+
+def _scan(buckets: int, marked: bool):
+    """Pieces of the documents of a batch, packed by bucket.
+
+    Where doc_ids repeat, rows of one are told apart by a mark of their text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
 
-        def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            heads = np.concatenate([h for h, _ in parts])
-            texts = np.concatenate([t for _, t in parts])
+        def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            heads = np.concatenate([x[0] for x in parts])
+            texts = np.concatenate([x[1] for x in parts])
             sizes = heads["size"].astype(np.int64)
             begins = np.cumsum(sizes) - sizes
-            bucket = (heads["hash"] % np.uint64(buckets)).astype(np.int64)
+            bucket = np.concatenate([x[2] for x in parts])
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             rows = []
             for ids in np.split(order, cuts):
                 text = texts[_ranges(begins[ids], sizes[ids])].tobytes()
-                rows.append((int(bucket[ids[0]]), packer.compress(heads[ids].tobytes()), packer.compress(text)))
+                rows.append((int(bucket[ids[0]]), packer.compress(packed_heads(heads[ids])), packer.compress(text)))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int32()),
@@ -135,16 +162,19 @@ def _scan(buckets: int):
                 if doc is None or text is None:
                     continue
                 data = text.encode()
-                mark = xxhash.xxh32_intdigest(data)
+                mark = _mark(data, marked)
                 for begin, stretch in _stretches(data):
                     hashes, start, count = pieces(stretch)
                     if not len(hashes):
                         continue
                     heads = np.zeros(len(hashes), _HEAD)
-                    heads["hash"], heads["doc"], heads["mark"] = hashes, doc, mark
+                    # The bucket takes the upper half of the hash, the head the lower one.
+                    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    heads["hash"] = hashes & np.uint64(0xFFFFFFFF)
+                    heads["doc"], heads["mark"] = doc, mark
                     heads["start"], heads["size"] = start + begin, count + MATCH - 1
                     raw = np.frombuffer(stretch, np.uint8)
-                    parts.append((heads, raw[_ranges(start, count + MATCH - 1)]))
+                    parts.append((heads, raw[_ranges(start, count + MATCH - 1)], bucket))
                     held += len(stretch)
                 if held >= SCAN_BYTES:
                     yield packed(parts)
@@ -289,6 +319,10 @@ def covered_runs(heads: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mark(data: bytes, marked: bool) -> int:
+    return xxhash.xxh32_intdigest(data) if marked else 0
+
+
 def _match(slabs: int):
     """Covered runs of the buckets of a partition, packed by slab; rows come by bucket."""
 
@@ -296,7 +330,7 @@ def _match(slabs: int):
         unpacker = zstandard.ZstdDecompressor()
 
         def found(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            heads = np.concatenate([np.frombuffer(unpacker.decompress(h), _HEAD) for h, _ in rows])
+            heads = np.concatenate([unpacked_heads(unpacker.decompress(h)) for h, _ in rows])
             text = np.concatenate([np.frombuffer(unpacker.decompress(t), np.uint8) for _, t in rows])
             runs = covered_runs(heads, text)
             slab = (mixed(runs["doc"].astype(np.uint64)) % np.uint64(slabs)).astype(np.int64)
@@ -339,7 +373,7 @@ def _slab_of(slabs: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut_out(key, docs: pa.Table, runs: pa.Table) -> pa.Table:
+def _cut_out(docs: pa.Table, runs: pa.Table, marked: bool) -> pa.Table:
     """The documents of one slab without what is covered."""
     parts = [np.frombuffer(x.as_py(), _RUN) for x in runs["runs"]]
     found = np.concatenate(parts) if parts else np.zeros(0, _RUN)
@@ -353,7 +387,7 @@ def _cut_out(key, docs: pa.Table, runs: pa.Table) -> pa.Table:
     for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
         data = (text or "").encode()
         kept, spans, at = [], 0, 0
-        a, b = where.get((doc, xxhash.xxh32_intdigest(data)), (0, 0)) if doc is not None else (0, 0)
+        a, b = where.get((doc, _mark(data, marked)), (0, 0)) if doc is not None else (0, 0)
         end = -1
         for s, e in zip(found["start"][a:b].tolist(), found["end"][a:b].tolist(), strict=True):
             if s > end:
@@ -377,8 +411,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets, slabs = total * 4 // BUCKET_BYTES + 1, total // SLAB_BYTES + 1
-    scanned = rows.mapInArrow(_scan(buckets), "bucket int, heads binary, texts binary")
+    marked = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    scanned = rows.mapInArrow(_scan(buckets, marked), "bucket int, heads binary, texts binary")
     dealt = scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     runs = stored(dealt.mapInArrow(_match(slabs), "slab int, runs binary"), "suffix-runs")
     placed = rows.mapInArrow(_slab_of(slabs), "doc_id long, text string, slab int")
-    return placed.groupBy("slab").cogroup(runs.groupBy("slab")).applyInArrow(_cut_out, RESULT)
+
+    def cut_out(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        return _cut_out(docs, runs, marked)
+
+    return placed.groupBy("slab").cogroup(runs.groupBy("slab")).applyInArrow(cut_out, RESULT)
