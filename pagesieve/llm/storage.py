@@ -26,13 +26,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
+    """``df`` written as Parquet to the shared folder and read again, tightly compressed.
 
     This cuts the lineage: a lost executor costs a read of these files and not the
     steps before them. The files stay until the folder is cleared.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
