@@ -6,11 +6,18 @@ any number of documents makes one pair for each of them and never a pair for eac
 Rare anchors are the stronger evidence: a pair records its rarest one. But no anchor is
 left out for being common, because copies in thousands make their lines common too.
 
+A document that has a line for the k-th time is also paired with the first document that
+has it k times. This needs no rounds: whatever earlier document has a line as often, the
+first one that does is a partner.
+
 Of each pair the sequences of lines that both have are aligned by patience diff: equal lines at
 both ends, then the lines that each side has once, longest increasing first, then the
 gaps between them. Runs of aligned lines that are neighbours in both documents are
-blocks; a block of five words or more is deleted from the later document. Alignments are
-made on the input, so the first copy of a line always stays.
+blocks; a block of five words or more is deleted from the later document. Blocks that are
+left on both sides because their order differs are then matched where they stand, each
+line of the earlier document once. Alignments are made on the input, so the first copy of
+a line always stays. Copies and other orders are looked for with ``whole`` only,
+which the registered queries set.
 
 Lines are compared without white space at their ends. Lines without a word are neither
 compared nor deleted, and do not part a block.
@@ -21,16 +28,19 @@ Defined results
     repeated rows             same doc_id and text: one document, all copies alike
     equal doc_ids             neither is the later one: not aligned with each other
     null doc_id               later than all others, not aligned with each other
-    one repeated line         aligned as far as order allows; other copies stay
+    one repeated line         as many copies go as one earlier document has; others stay
     columns of other names    kept as they are
     empty table               no rows
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,53 +109,134 @@ def _increasing(of_a: dict, of_b: dict) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def deleted_places(a: list[tuple], b: list[tuple]) -> list[int]:
-    """Line numbers that b loses to a; rows are (ordinal, line number, words, key)."""
+def deleted_places(a: list[tuple], b: list[tuple], whole: bool = False) -> list[int]:
+    """Line numbers that b loses to a; rows are (ordinal, line number, words, key).
+
+    With ``whole``, also the blocks that the alignment leaves because of their order.
+    """
     both = {x[3] for x in a} & {x[3] for x in b}
     a, b = ([x for x in side if x[3] in both] for side in (a, b))
-    out, block, words = [], [], 0
+    used, gone, block, words = set(), set(), [], 0
     previous = (-2, -2)
+
+    def close() -> None:
+        if words >= LEAST_WORDS:
+            used.update(i for i, _ in block)
+            gone.update(j for _, j in block)
+
     for i, j in aligned([x[3] for x in a], [x[3] for x in b]):
         here = (a[i][0], b[j][0])
         if here != (previous[0] + 1, previous[1] + 1):
-            out += block if words >= LEAST_WORDS else []
+            close()
             block, words = [], 0
-        block.append(b[j][1])
+        block.append((i, j))
         words += b[j][2]
         previous = here
-    return out + (block if words >= LEAST_WORDS else [])
-
-
-def _lines(text: Column) -> Column:
-    """Lines with a word, as (ordinal, place, words, key)."""
-    rows = F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\n", -1),
-        lambda x, i: F.struct(
-            i.alias("place"),
-            F.size(words_of(x)).alias("words"),
-            F.unhex(F.md5(F.regexp_replace(x, _BLANKS, "").cast("binary"))).alias("key"),
-        ),
-    )
-    worded = F.filter(rows, lambda r: r["words"] > 0)
-    return F.transform(worded, lambda r, i: r.withField("ordinal", i))
+    close()
+    if whole:
+        _out_of_order(a, b, used, gone)
+    return [b[j][1] for j in sorted(gone)]
+
+
+def _least_run(rows: list[tuple], begin: int, out: set[int]) -> int:
+    """End of the shortest block from ``begin`` that is long enough; 0 if there is none."""
+    words, k = 0, begin
+    while k < len(rows) and k not in out and rows[k][0] - rows[begin][0] == k - begin:
+        words += rows[k][2]
+        k += 1
+        if words >= LEAST_WORDS:
+            return k
+    return 0
+
+
+def _out_of_order(a: list[tuple], b: list[tuple], used: set[int], gone: set[int]) -> None:
+    """Match blocks that the alignment left on both sides, wherever they stand.
+
+    Every line of a is used once. Afterwards no block that is long enough is left on both
+    sides. One pass over b, each start in a is looked at a bounded number of times.
+    """
+    names = lambda rows, k, end: tuple(x[3] for x in rows[k:end])
+    ends = {j: end for j in range(len(b)) if (end := _least_run(b, j, gone))}
+    wanted = {names(b, j, end) for j, end in ends.items()}
+    if not wanted:
+        return
+    starts: dict[tuple, deque] = {}
+    for i in range(len(a)):
+        end = _least_run(a, i, used)
+        if end and (name := names(a, i, end)) in wanted:
+            starts.setdefault(name, deque()).append(i)
+
+    def fits(i: int, j: int, by: int) -> bool:
+        """Whether a block can go on from the lines i and j to the next ones."""
+        x, y = i + by, j + by
+        return (
+            0 <= x < len(a) and 0 <= y < len(b) and x not in used and y not in gone
+            and a[x][3] == b[y][3] and a[x][0] == a[i][0] + by and b[y][0] == b[j][0] + by
+        )
+
+    for j, end in ends.items():
+        if not _least_run(b, j, gone):
+            continue
+        places = starts.get(names(b, j, end), deque())
+        while places and not _least_run(a, places[0], used):
+            places.popleft()
+        if not places:
+            continue
+        i, size, before = places.popleft(), end - j, 0
+        while fits(i + size - 1, j + size - 1, 1):
+            size += 1
+        while fits(i - before, j - before, -1):
+            before += 1
+        used.update(range(i - before, i + size))
+        gone.update(range(j - before, j + size))
 
 
-def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def anchors_of(rows: list[tuple]) -> list[bytes]:
+    """Anchors of a document besides its lines: lines that come again, with their number.
+
+    Rows are as in ``deleted_places``.
+    """
+    out, times = [], {}
+    for _, _, words, name in rows:
+        if words >= LEAST_WORDS:
+            times[name] = times.get(name, 0) + 1
+            if times[name] > 1:
+                out.append(hashlib.md5(name + times[name].to_bytes(8, "little")).digest())
+    return out
+
+
+def _deletions(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                rows = ([(r["ordinal"], r["place"], r["words"], r["key"]) for r in x] for x in (a, b))
+                places.append(deleted_places(*rows, whole))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), pa.array(places, pa.list_(pa.int32()))], names=["doc", "places"]
+            )
+
+    return run
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        places = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            rows = ([(r["ordinal"], r["place"], r["words"], r["key"]) for r in x] for x in (a, b))
-            places.append(deleted_places(*rows))
+        found = [
+            anchors_of([(r["ordinal"], r["place"], r["words"], r["key"]) for r in x])
+            for x in batch.column("lines").to_pylist()
+        ]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), pa.array(places, pa.list_(pa.int32()))], names=["doc", "places"]
+            [batch.column("doc").take(rows), pa.array([y for x in found for y in x], pa.binary())],
+            names=["doc", "anchor"],
         )
 
 
-def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``doc, places, partners, rarest``: line numbers that documents lose.
 
     ``doc`` is the struct of doc_id and the digest of the text; documents that lose
-    nothing are not there.
+    nothing are not there. ``whole`` is explained at ``without_repeats``.
     """
     doc = F.struct(F.col(doc_id).cast("long").alias("id"), _digest(F.col(text)).alias("mark"))
     rows = stored(
@@ -168,18 +259,27 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     later = F.col("first.id").isNotNull() & (
         F.col("doc.id").isNull() | (F.col("doc.id") > F.col("first.id"))
     )
-    pairs = (
-        common.filter(later & (F.col("words") >= LEAST_WORDS))
-        .groupBy("doc", "first")
-        .agg(F.min("holders").alias("rarest"))
-    )
     sequence = common.groupBy("doc").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "place", "words", "key"))).alias("lines")
     )
     sequence = stored(sequence, "line-sequences")
+    pairs = common.filter(later & (F.col("words") >= LEAST_WORDS)).select("doc", "first")
+    if whole:
+        anchors = stored(
+            sequence.mapInArrow(_anchors, "doc struct<id:long,mark:binary>, anchor binary").select("*", order),
+            "line-anchors",
+        )
+        heads = (
+            anchors.groupBy("anchor")
+            .agg(F.min("order").alias("first"), F.max("order").alias("last"))
+            .filter(F.col("first") != F.col("last"))
+            .select("anchor", F.col("first.doc").alias("first"))
+        )
+        pairs = pairs.union(anchors.join(heads, "anchor").filter(later).select("doc", "first"))
+    pairs = pairs.distinct()
     side = lambda n, d: sequence.select(F.col("doc").alias(d), F.col("lines").alias(n))
     both = pairs.select("doc", "first").join(side("b", "doc"), "doc").join(side("a", "first"), "first")
-    found = both.select("doc", "a", "b").mapInArrow(_deletions, "doc struct<id:long,mark:binary>, places array<int>")
+    found = both.select("doc", "a", "b").mapInArrow(_deletions(whole), "doc struct<id:long,mark:binary>, places array<int>")
     return (
         found.groupBy("doc")
         .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.count("*").alias("partners"))
@@ -192,17 +292,22 @@ def _digest(text: Column) -> Column:
 
 
 def without_repeats(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", into: str = "lines"
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", into: str = "lines", whole: bool = False
 ) -> DataFrame:
     """``docs`` with the lines deleted from ``text``, and the struct ``into``.
 
     Its fields are ``n_lines``, ``n_removed``, ``n_partners`` (documents it was aligned
     with) and ``emptied`` (there were words, and none are left). An older column of that
     name is replaced.
+
+    Without ``whole``, a document is aligned once with the first holder of each of its
+    lines, and what stands there in another order or more often stays. With it nothing
+    is left that an earlier document has: every copy has its own first holder, and
+    blocks are also matched out of order.
     """
     docs = docs.drop(into) if into not in (doc_id, text) else docs
     places, mark, partners = (fresh_name(docs, x) for x in ("places", "mark", "partners"))
-    found = stored(deletions(docs, doc_id, text), "line-deletions").select(
+    found = stored(deletions(docs, doc_id, text, whole), "line-deletions").select(
         F.col("doc.id").alias("own_id"), F.col("doc.mark").alias("own_mark"),
         F.col("places").alias(places), F.col("partners").alias(partners),
     )
@@ -246,7 +351,7 @@ def without_repeats(
     return rows.mapInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, **columns: str) -> DataFrame:
+def deduplicated(docs: DataFrame, *, whole: bool = False, **columns: str) -> DataFrame:
     """``docs`` without repeated lines; documents that lose all their words go."""
     into = fresh_name(docs, "lines")
-    return without_repeats(docs, into=into, **columns).filter(~F.col(into)["emptied"]).drop(into)
+    return without_repeats(docs, into=into, whole=whole, **columns).filter(~F.col(into)["emptied"]).drop(into)

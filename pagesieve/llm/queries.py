@@ -66,7 +66,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.without_repeats(docs).select("doc_id", "text", "lines.*")
+    return line_dedup.without_repeats(docs, whole=True).select("doc_id", "text", "lines.*")
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

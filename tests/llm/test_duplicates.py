@@ -228,6 +228,38 @@ def test_line_dedup(spark):
     assert got != docs
 
 
+def _left_of(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    return {r.doc_id: r.text for r in line_dedup.without_repeats(df, whole=True).collect()}
+
+
+def test_line_dedup_beyond_the_first_alignment(spark):
+    p, q, x = "one passage of six words here", "another passage of six words there", "this line comes more than once"
+    docs = {
+        0: f"{p}\n{q}", 1: f"{q}\n{p}", 2: f"{q}\n{p}",  # other order
+        10: x, 11: f"new {x}\n{x}\n{x}", 12: f"{x}\n{x}\n{x}",  # the first holder has it once
+    }
+    left = _left_of(spark, docs)
+    assert left[1] == left[2] == ""
+    assert left[11] == f"new {x}\n{x}" and left[12] == x
+
+
+def test_line_dedup_leaves_no_line_of_an_earlier_document(spark):
+    rng = random.Random(18)
+    pool = [prose(rng, rng.choice([5, 6, 9])) for _ in range(30)]
+    docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randrange(9))) for i in range(80)}
+    left = _left_of(spark, docs)
+    most = defaultdict(int)  # copies that one earlier document has
+    for i in sorted(docs):
+        lines = [x for x in docs[i].split("\n") if x]
+        kept = left[i].split("\n")
+        for line in set(lines):
+            assert kept.count(line) <= lines.count(line) - min(most[line], lines.count(line))
+            assert most[line] or kept.count(line) == lines.count(line)
+        for line in set(lines):
+            most[line] = max(most[line], lines.count(line))
+
+
 def test_patience_alignment():
     rng = random.Random(9)
     for _ in range(300):
