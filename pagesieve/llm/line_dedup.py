@@ -7,8 +7,9 @@ Rare anchors are the stronger evidence: a pair records its rarest one. But no an
 left out for being common, because copies in thousands make their lines common too.
 
 A document that has a line for the k-th time is also paired with the first document that
-has it k times. This needs no rounds: whatever earlier document has a line as often, the
-first one that does is a partner.
+has it k times. So is every run of neighbouring lines that reaches five words, which
+finds passages whose lines are all short. This needs no rounds: whatever earlier document
+has a line as often, the first one that does is a partner.
 
 Of each pair the sequences of lines that both have are aligned by patience diff: equal lines at
 both ends, then the lines that each side has once, longest increasing first, then the
@@ -16,7 +17,7 @@ gaps between them. Runs of aligned lines that are neighbours in both documents a
 blocks; a block of five words or more is deleted from the later document. Blocks that are
 left on both sides because their order differs are then matched where they stand, each
 line of the earlier document once. Alignments are made on the input, so the first copy of
-a line always stays. Copies and other orders are looked for with ``whole`` only,
+a line always stays. Copies, runs and other orders are looked for with ``whole`` only,
 which the registered queries set.
 
 Lines are compared without white space at their ends. Lines without a word are neither
@@ -192,19 +193,42 @@ def _out_of_order(a: list[tuple], b: list[tuple], used: set[int], gone: set[int]
 
 
 def anchors_of(rows: list[tuple]) -> list[bytes]:
-    """Anchors of a document besides its lines: lines that come again, with their number.
+    """Anchors of a document besides its single lines; rows are as in ``deleted_places``.
 
-    Rows are as in ``deleted_places``.
+    Runs of neighbouring lines, so that every line of a block of five words is in a run
+    of that block, and lines and runs that come again, with their number.
     """
     out, times = [], {}
-    for _, _, words, name in rows:
-        if words >= LEAST_WORDS:
-            times[name] = times.get(name, 0) + 1
-            if times[name] > 1:
-                out.append(hashlib.md5(name + times[name].to_bytes(8, "little")).digest())
+    for i, (first, _, least, _) in enumerate(rows):
+        words, name = 0, b""
+        for j in range(i, len(rows)):
+            if rows[j][0] - first != j - i:
+                break
+            words += rows[j][2]
+            name += rows[j][3]
+            if words >= LEAST_WORDS and min(words - least, words - rows[j][2]) < LEAST_WORDS:
+                times[name] = times.get(name, 0) + 1
+                if j > i or times[name] > 1:
+                    out.append(hashlib.md5(name + times[name].to_bytes(8, "little")).digest())
+            if words - least >= LEAST_WORDS:
+                break
     return out
 
 
+def _lines(text: Column) -> Column:
+    """Lines with a word, as (ordinal, place, words, key)."""
+    rows = F.transform(
+        F.split(F.coalesce(text, F.lit("")), "\n", -1),
+        lambda x, i: F.struct(
+            i.alias("place"),
+            F.size(words_of(x)).alias("words"),
+            F.unhex(F.md5(F.regexp_replace(x, _BLANKS, "").cast("binary"))).alias("key"),
+        ),
+    )
+    worded = F.filter(rows, lambda r: r["words"] > 0)
+    return F.transform(worded, lambda r, i: r.withField("ordinal", i))
+
+
 def _deletions(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -260,6 +260,21 @@ def test_line_dedup_leaves_no_line_of_an_earlier_document(spark):
             most[line] = max(most[line], lines.count(line))
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = [f"{a} {b}" for a in ("sun", "moon", "star") for b in ("tree", "leaf", "root", "stone", "cloud")]
+    docs = {
+        0: "\n".join(verse), 1: "\n".join(verse),
+        2: "\n".join(["head", *verse[3:9], "end"]),
+        3: "\n".join([*verse[9:12], "own", *verse[3:5]]),  # the last two have four words
+        10: "a line of many words\nold", 11: "a line of many words\nodd", 12: "a line of many words\nodd",
+    }
+    left = _left_of(spark, docs)
+    assert left[0] == docs[0] and left[1] == ""
+    assert left[2] == "head\nend"
+    assert left[3] == "\n".join(["own", *verse[3:5]])
+    assert left[11] == "odd" and left[12] == ""
+
+
 def test_patience_alignment():
     rng = random.Random(9)
     for _ in range(300):
