@@ -3,8 +3,8 @@
 Every line of five words or more that occurs in two documents or more is an anchor. It
 pairs each later document with the first document that has the line, so a line held by
 any number of documents makes one pair for each of them and never a pair for each two.
-Rare anchors are the stronger evidence: a pair records its rarest one. But no anchor is
-left out for being common, because copies in thousands make their lines common too.
+How rare an anchor is plays no part: none is left out for being common, because copies in
+thousands make their lines common too.
 
 A document that has a line for the k-th time is also paired with the first document that
 has it k times. So is every run of neighbouring lines that reaches five words, which
@@ -257,7 +257,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """``doc, places, partners, rarest``: line numbers that documents lose.
+    """``doc, places, partners``: line numbers that documents lose.
 
     ``doc`` is the struct of doc_id and the digest of the text; documents that lose
     nothing are not there. ``whole`` is explained at ``without_repeats``.
@@ -270,13 +270,9 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole
     order = F.struct(F.col("doc.id").isNull().alias("none"), "doc").alias("order")
     held = rows.select("key", "doc", order).groupBy("key")
     shared = stored(
-        held.agg(
-            F.min("order").alias("first"),
-            F.max("order").alias("last"),
-            F.count("*").alias("holders"),
-        )
+        held.agg(F.min("order").alias("first"), F.max("order").alias("last"))
         .filter(F.col("first") != F.col("last"))
-        .select("key", F.col("first.doc").alias("first"), "holders"),
+        .select("key", F.col("first.doc").alias("first")),
         "line-shared",
     )
     common = stored(rows.join(shared, "key"), "line-common")
