@@ -1,12 +1,12 @@
 """Quality rules: distance of a document's histograms from those of its language.
 
 Every document is counted into two histograms: characters by class, and the most common
-short words of its language. Both are compared with the same histograms over all
+words of its language, of any length. Both are compared with the same histograms over all
 documents of that language by the Jensen-Shannon distance (base 2, so 0 to 1). A document
 far from its language is rejected; one with few words is not judged by distance.
 
-The text is read once. Its counts and its short words go to a stored table, and both the
-references and the verdicts come from there. Only built-in functions are used.
+The text and its counts go to a stored table, and both the references and the verdicts
+come from there. Words are summed by language before they are shuffled. Only built-in functions are used.
 
 Defined results
     null text                    no words, all counts 0, base rules apply
@@ -50,6 +50,7 @@ WINDOW = 5
 
 #: Parameters of the method.
 COMMON_WORDS = 16
+#: The SQL looks no further than this; the operator takes words of any length.
 SHORT_WORD_BYTES = 4
 GUARD_WORDS = 50
 GUARD_LANGUAGE_WORDS = 1000
@@ -147,7 +148,6 @@ def measured(text: Column, words: Column) -> Column:
         .alias("n_dup_lines"),
         repeated_words(words).cast("long").alias("n_repeat_words"),
         classes.alias("classes"),
-        F.filter(words, lambda x: F.octet_length(x) <= SHORT_WORD_BYTES).alias("short"),
     )
 
 
@@ -175,10 +175,20 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return shares(counts, lambda p: shares(reference, lambda q: distance(p, q)))
 
 
-def word_counts(short: Column, n_words: Column, common: Column) -> Column:
-    """How often each of the ``common`` words occurs, then all other words."""
+def word_counts(words: Column, n_words: Column, common: Column, longest: Column) -> Column:
+    """How often each of the ``common`` words occurs, then all other words.
+
+    No common word has more bytes than ``longest``, so longer words need no comparison.
+    """
+    return bound(
+        F.filter(words, lambda x: F.octet_length(x) <= longest),
+        lambda w: _word_counts(w, n_words, common),
+    )
+
+
+def _word_counts(words: Column, n_words: Column, common: Column) -> Column:
     found = [
-        F.coalesce(F.size(short) - F.size(F.array_remove(short, F.get(common, F.lit(k)))), F.lit(0))
+        F.coalesce(F.size(words) - F.size(F.array_remove(words, F.get(common, F.lit(k)))), F.lit(0))
         for k in range(COMMON_WORDS)
     ]
     return bound(
@@ -189,14 +199,14 @@ def word_counts(short: Column, n_words: Column, common: Column) -> Column:
     )
 
 
-def references(counted: DataFrame, lang: str, measures: str) -> DataFrame:
-    """``lang, common, word_reference, class_reference`` over all documents.
+def references(counted: DataFrame, text: str, lang: str, measures: str) -> DataFrame:
+    """``lang, common, longest, word_reference, class_reference`` over all documents.
 
     One row for each language, however many documents it has: counts are summed before
     they are shuffled, and the common words are picked from partial rankings.
     """
     m = F.col(measures)
-    rows = counted.select(F.col(lang).alias("lang"), m.alias("m"))
+    rows = counted.select(F.col(lang).alias("lang"), F.col(text).alias("text"), m.alias("m"))
     sums = rows.groupBy("lang").agg(
         F.sum("m.n_words").alias("total"),
         F.array(
@@ -204,7 +214,7 @@ def references(counted: DataFrame, lang: str, measures: str) -> DataFrame:
         ).alias("class_reference"),
     )
     ranked = (
-        rows.select("lang", F.explode("m.short").alias("word"))
+        rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
         .withColumn(
@@ -223,9 +233,10 @@ def references(counted: DataFrame, lang: str, measures: str) -> DataFrame:
             F.col("total") - F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         ),
     )
-    return known.join(common, known["lang"].eqNullSafe(common["lang"])).select(
+    return known.join(common, known["lang"].eqNullSafe(common["lang"]), "left").select(
         known["lang"],
         F.col("top.word").alias("common"),
+        F.array_max(F.transform("top.word", F.octet_length)).alias("longest"),
         counts.alias("word_reference"),
         "class_reference",
         F.lit(True).alias("known"),
@@ -249,7 +260,7 @@ def judged(
         docs.withColumn(w, words_of(whole)).withColumn(m, measured(whole, F.col(w))).drop(w),
         "quality-counts",
     )
-    known = stored(references(counted, lang, m), "quality-references").select(
+    known = stored(references(counted, text, lang, m), "quality-references").select(
         F.struct("*").alias(r)
     )
     rows = counted.join(known, counted[lang].eqNullSafe(known[r]["lang"]), "left")
@@ -258,7 +269,10 @@ def judged(
     by_class = F.when(judge, js_distance(q["classes"], ref["class_reference"]))
     by_word = F.when(
         judge,
-        js_distance(word_counts(q["short"], q["n_words"], ref["common"]), ref["word_reference"]),
+        js_distance(
+            word_counts(words_of(F.col(text)), q["n_words"], ref["common"], ref["longest"]),
+            ref["word_reference"],
+        ),
     )
     failed = (q["n_words"] < LEAST_WORDS) | (
         100 * q["n_repeat_words"] > MOST_REPEATED_PERCENT * q["n_words"]

@@ -63,6 +63,18 @@ def test_far_documents_go_and_clean_ones_stay(spark):
     assert kept == {r[0] for r in rows + guarded}
 
 
+def test_common_words_have_any_length(spark):
+    rng = random.Random(23)
+    common = [c * 3 for c in "абвгдежз"]  # six bytes each
+    clean = [" ".join(rng.choice(common) if rng.random() < 0.7 else f"слово{rng.randrange(9999)}" for _ in range(100)) for _ in range(60)]
+    other = " ".join(f"слово{rng.randrange(9999)}" for _ in range(100))
+    df = spark.createDataFrame([(i, t, "ru") for i, t in enumerate([*clean, other])], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.quality for r in quality.judged(df).collect()}
+    assert all(found[i].kept and found[i].word_distance is not None for i in range(60))
+    assert found[60].class_distance is not None and found[60].word_distance > quality.MOST_WORD_DISTANCE
+    assert not found[60].base_failed and not found[60].kept
+
+
 def test_quality_of_odd_documents(odd_documents, no_documents):
     rows = quality.judged(odd_documents).collect()
     assert len(rows) == odd_documents.count()
