@@ -321,9 +321,9 @@ def without_repeats(
     name is replaced.
 
     Without ``whole``, a document is aligned once with the first holder of each of its
-    lines, and what stands there in another order or more often stays. With it nothing
-    is left that an earlier document has: every copy has its own first holder, and
-    blocks are also matched out of order.
+    lines, and what stands there in another order or more often stays. With it, of every
+    line of five words as many copies go as one earlier document has: every copy has its
+    own first holder, and blocks are also matched out of order.
     """
     docs = docs.drop(into) if into not in (doc_id, text) else docs
     places, mark, partners = (fresh_name(docs, x) for x in ("places", "mark", "partners"))
