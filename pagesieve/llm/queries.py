@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, sql, suffix_dedup, url_rules, warc
+from pagesieve.llm import (
+    bpe,
+    chat,
+    cover_tree,
+    line_dedup,
+    merkle,
+    minhash,
+    mixing,
+    quality,
+    sql,
+    sql_more,
+    suffix_dedup,
+    url_rules,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +125,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_cover_tree": op2_cover_tree,
@@ -122,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_divergence": op8_quality_divergence,
     "op9_url_rules": op9_url_rules,
     "op10_suffix_array": op10_suffix_array,
+    "op12_merkle_proofs": op12_merkle_proofs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -133,4 +152,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_divergence": sql.QUALITY,
     "op9_url_rules": sql.url_verdicts(LISTED),
     "op10_suffix_array": sql.SUFFIXES,
+    "op12_merkle_proofs": sql_more.MERKLE,
 }

@@ -10,9 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a Spark of one process (``local[...]``) gets a temporary folder. On
+    a cluster that is an error: each executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+    if not folder:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} share")
+        folder = _own_folder(spark.sparkContext.applicationId)
+    return folder.rstrip("/")
 
 
 @cache
