@@ -12,6 +12,7 @@ from pagesieve.llm import (
     bpe,
     chat,
     cover_tree,
+    license_scan,
     line_dedup,
     merkle,
     minhash,
@@ -129,6 +130,10 @@ def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents"))
 
 
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_cover_tree": op2_cover_tree,
@@ -141,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_rules": op9_url_rules,
     "op10_suffix_array": op10_suffix_array,
     "op12_merkle_proofs": op12_merkle_proofs,
+    "op13_license_rules": op13_license_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,4 +159,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_url_rules": sql.url_verdicts(LISTED),
     "op10_suffix_array": sql.SUFFIXES,
     "op12_merkle_proofs": sql_more.MERKLE,
+    "op13_license_rules": sql_more.LICENSES,
 }

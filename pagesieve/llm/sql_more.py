@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagesieve.llm import license_scan
 from pagesieve.llm.sql import _ASCII_LOWER
 
 #: The table of CRC-32 as a list ``t`` in the one row of ``crc``.
@@ -97,3 +98,50 @@ MERKLE = f"""
     FROM asked JOIN last USING (id) LEFT JOIN proof USING (id),
          (SELECT digest AS root FROM upper_nodes WHERE n = 1)
 """
+
+_WORDS = rf"regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RULES = ", ".join(
+    f"""({r.order}, {r.priority}, {r.confidence}, {f"'{r.label}'" if r.label else "NULL"}, '{r.pattern}')"""
+    for r in license_scan.rules()
+)
+_PHRASES = ", ".join(f"({p.split()}, '{label}')" for p, label in license_scan.PHRASES.items())
+
+#: The rules run on every document here, whatever keywords it has.
+LICENSES = f"""
+    WITH worded AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS w FROM documents),
+    base AS (
+        SELECT id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+               list(DISTINCT label) AS base_list
+        FROM (
+            SELECT id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS place
+            FROM worded, (VALUES {_PHRASES}) AS p(phrase, label)
+        ) GROUP BY id
+    ),
+    lines AS (SELECT id, array_to_string(list_transform(w, lambda x: ' ' || x || ' '), '') AS line FROM worded),
+    hits AS (
+        SELECT id, line, r.*, regexp_extract_all(line, pattern) AS hits
+        FROM lines, (VALUES {_RULES}) AS r(rule, priority, confidence, label, pattern)
+        WHERE regexp_matches(line, pattern)
+    ),
+    counted AS (SELECT *, string_split_regex(line, pattern) AS gaps, unnest(range(1, len(hits) + 1)) AS k FROM hits),
+    found AS (
+        SELECT id, rule, priority, confidence, label,
+               list_sum(list_transform(gaps[1:k], lambda x: len(x)))
+               + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: len(x))), 0) AS start,
+               len(hits[k]) AS size
+        FROM counted
+    ),
+    kept AS (
+        SELECT id, confidence, label FROM found d WHERE label IS NOT NULL AND NOT EXISTS (
+            FROM found e WHERE e.id = d.id AND e.start <= d.start AND e.start + e.size >= d.start + d.size
+            AND (e.priority, e.size, -e.rule) > (d.priority, d.size, -d.rule)
+        )
+    ),
+    labelled AS (SELECT id, list(DISTINCT label) AS rule_list, max(confidence) AS best FROM kept GROUP BY id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(array_to_string(list_sort(base_list), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(
+               list_concat(coalesce(base_list, []), coalesce(rule_list, [])))), ','), '') AS labels,
+           coalesce(best, 0) / 100 AS score
+    FROM worded LEFT JOIN base USING (id) LEFT JOIN labelled USING (id)
+"""
