@@ -18,6 +18,7 @@ from pagesieve.llm import (
     minhash,
     mixing,
     quality,
+    spelling,
     sql,
     sql_more,
     suffix_dedup,
@@ -126,6 +127,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents"))
 
@@ -145,6 +150,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_divergence": op8_quality_divergence,
     "op9_url_rules": op9_url_rules,
     "op10_suffix_array": op10_suffix_array,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_proofs": op12_merkle_proofs,
     "op13_license_rules": op13_license_rules,
 }
@@ -158,6 +164,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_divergence": sql.QUALITY,
     "op9_url_rules": sql.url_verdicts(LISTED),
     "op10_suffix_array": sql.SUFFIXES,
+    "op11_spelling_variants": sql_more.SPELLING,
     "op12_merkle_proofs": sql_more.MERKLE,
     "op13_license_rules": sql_more.LICENSES,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesieve.llm import license_scan
+from pagesieve.llm import license_scan, spelling
 from pagesieve.llm.sql import _ASCII_LOWER
 
 #: The table of CRC-32 as a list ``t`` in the one row of ``crc``.
@@ -145,3 +145,53 @@ LICENSES = f"""
            coalesce(best, 0) / 100 AS score
     FROM worded LEFT JOIN base USING (id) LEFT JOIN labelled USING (id)
 """
+
+_BYTES = """flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)]
+    ELSE [CAST(192 + (ord(c) >> 6) AS BIGINT), CAST(128 + (ord(c) & 63) AS BIGINT)] END))"""
+
+#: Words without one code point, as keys: equal keys are words one edit apart.
+SPELLING = f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    runs AS (
+        SELECT doc_id, run, count(*) AS m FROM (
+            SELECT doc_id, {_ASCII_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} AS run
+            FROM documents
+        ) WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY ALL
+    ),
+    hashed AS (SELECT run, m, {_crc32(_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM runs, crc),
+    written AS (
+        SELECT CASE WHEN h % {spelling.SPOIL} = 0
+                    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m
+        FROM hashed
+    ),
+    counts AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM written GROUP BY word),
+    words AS (
+        SELECT word, n FROM counts
+        WHERE n >= {spelling.LEAST_COUNT} AND length(word) >= {spelling.LEAST_LENGTH}
+    ),
+    less AS (
+        SELECT word, k, substr(word, 1, k) || substr(word, k + 2) AS rest
+        FROM (SELECT word, unnest(range(length(word))) AS k FROM words)
+    ),
+    near AS (
+        SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.k = y.k AND x.rest = y.rest AND x.word <> y.word
+        UNION SELECT x.word, y.word FROM less x JOIN words y ON x.rest = y.word
+        UNION SELECT y.word, x.word FROM less x JOIN words y ON x.rest = y.word
+    ),
+    placed AS (
+        SELECT a, b, w.n, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near
+        FROM near JOIN words w ON w.word = b
+    ),
+    forms AS (
+        SELECT w.word, CASE WHEN p.n >= {spelling.TIMES} * w.n THEN b END AS form, w.n,
+               coalesce(n_near, 0) AS n_near, CASE WHEN p.n >= {spelling.TIMES} * w.n THEN p.n END AS form_n
+        FROM words w LEFT JOIN placed p ON p.a = w.word AND p.k = 1
+    ),
+    chains AS (
+        SELECT word, word AS reached, 0 AS step FROM forms
+        UNION ALL
+        SELECT c.word, f.form, step + 1 FROM chains c JOIN forms f ON f.word = c.reached WHERE f.form IS NOT NULL
+    ),
+    roots AS (SELECT word, max_by(reached, step) AS root FROM chains GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
