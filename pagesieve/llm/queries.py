@@ -58,8 +58,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """Documents encoded, decoded again, and both as digests."""
-    tokens = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, drop_text=True, offsets=False)
-    decoded = bpe.decode(tokens.select("doc_id", "n_tokens", "ids"), VOCABULARY)
+    tokens = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, drop_text=True)
+    decoded = bpe.decode(tokens, VOCABULARY, offsets="offsets")
     return decoded.select(
         "doc_id",
         "n_tokens",
