@@ -3,10 +3,11 @@
 Every place of a text at which 50 bytes begin is a suffix that matters in its first 50
 bytes. Suffixes with equal beginnings have to meet in one task, so they are dealt out by
 an anchor: the 16 bytes of least hash among the 50. Neighbouring suffixes mostly have the
-same anchor and travel as one piece of text, compressed, in buckets of bounded size.
+same anchor and travel as one piece of text, compressed, in buckets.
 
-In a bucket, anchors of one document alone are dropped; the suffixes of the others are
-sorted deep-shallow. A multikey quicksort on words of eight bytes orders them to a shallow
+First the anchors go without any text, to find those that two documents have. They come
+back to slabs of documents, and only their pieces are sent. In a bucket, their suffixes
+are sorted deep-shallow. A multikey quicksort on words of eight bytes orders them to a shallow
 depth, and leaves off wherever a suffix stands alone. What is still together then has a
 long common prefix: such groups are ordered by blind tries, which skip from one branching
 bit to the next and never look at the bytes between. All groups take a step at a time, as
@@ -27,8 +28,8 @@ Defined results
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.llm.arrow import parts
 from pagesieve.llm.minhash import mixed
 from pagesieve.llm.storage import stored
 
@@ -46,14 +48,17 @@ ANCHOR = 16
 _WINDOW = MATCH - ANCHOR + 1
 #: Bytes of text that are scanned at a time, of pieces in a bucket, of text in a slab.
 STRETCH = 1 << 20
-SCAN_BYTES = 4 << 20
+SCAN_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 8 << 20
+#: Partitions of buckets; above that a task takes one bucket after the other.
+MOST_PARTITIONS = 20_000
 #: Words of eight bytes that the quicksort looks at; the tries take over from there.
 SHALLOW = 3
 _WORDS = -(-MATCH // 8)
 _TAIL = np.uint64((1 << 64) - (1 << (8 * (8 * _WORDS - MATCH))))
 _RUN = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("start", "<i8"), ("end", "<i8")])
+_ANCHOR = np.dtype([("hash", "<u4"), ("doc", "<i8")])
 _HEAD = np.dtype([("hash", "<u4"), ("doc", "<i8"), ("mark", "<u4"), ("start", "<i8"), ("size", "u1")])
 
 
@@ -103,7 +108,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def packed_heads(heads: np.ndarray) -> bytes:
     """Heads as planes of bytes, documents as differences: most planes are then all zero."""
     out = []
-    for name in _HEAD.names:
+    for name in heads.dtype.names:
         column = heads[name]
         if name == "doc":
             column = np.diff(column, prepend=np.int64(0))
@@ -111,76 +116,157 @@ def packed_heads(heads: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def unpacked_heads(data: bytes) -> np.ndarray:
+def unpacked_heads(data: bytes, kind: np.dtype = _HEAD) -> np.ndarray:
     """The inverse of ``packed_heads``."""
-    n, at = len(data) // _HEAD.itemsize, 0
-    heads = np.zeros(n, _HEAD)
-    for name in _HEAD.names:
-        kind = _HEAD[name]
-        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        column = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    n, at = len(data) // kind.itemsize, 0
+    heads = np.zeros(n, kind)
+    for name in kind.names:
+        of = kind[name]
+        planes = np.frombuffer(data, np.uint8, n * of.itemsize, at).reshape(of.itemsize, n)
+        column = np.ascontiguousarray(planes.T).view(of).reshape(n)
         heads[name] = np.cumsum(column) if name == "doc" else column
-        at += n * kind.itemsize
+        at += n * of.itemsize
     return heads
 
 
-def _scan(buckets: int, marked: bool):
-    """Pieces of the documents of a batch, packed by bucket.
+def _groups(number: np.ndarray) -> list[np.ndarray]:
+    """Places of each number, in order."""
+    order = np.argsort(number, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else []
+
+
+def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket takes the upper half of a hash; a head has of the lower one."""
+    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _slab_number(docs: np.ndarray, slabs: int) -> np.ndarray:
+    return (mixed(docs.astype(np.uint64)) % np.uint64(slabs)).astype(np.int64)
 
-    Where doc_ids repeat, rows of one are told apart by a mark of their text.
-    """
+
+def _anchors(buckets: int):
+    """Anchors of the documents of a batch, packed by bucket: 24 bits of the hash, doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
+        for part in chain.from_iterable(parts(b, SCAN_BYTES) for b in batches):
+            found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for doc, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
+                for _, stretch in _stretches(text.encode()) if doc is not None and text else ():
+                    found.append(pieces(stretch)[0])
+                    docs.append(np.full(len(found[-1]), doc))
+            hashes = np.concatenate(found)
+            heads = np.zeros(len(hashes), _ANCHOR)
+            heads["hash"], heads["doc"] = hashes & _LOW, np.concatenate(docs)
+            bucket = _bucket_of(hashes, buckets)
+            groups = _groups(bucket)
+            yield _batch(
+                bucket=[int(bucket[g[0]]) for g in groups],
+                anchors=[packer.compress(packed_heads(heads[g])) for g in groups],
+            )
+
+    return run
+
 
-        def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            heads = np.concatenate([x[0] for x in parts])
-            texts = np.concatenate([x[1] for x in parts])
-            sizes = heads["size"].astype(np.int64)
-            begins = np.cumsum(sizes) - sizes
-            bucket = np.concatenate([x[2] for x in parts])
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            rows = []
-            for ids in np.split(order, cuts):
-                text = texts[_ranges(begins[ids], sizes[ids])].tobytes()
-                rows.append((int(bucket[ids[0]]), packer.compress(packed_heads(heads[ids])), packer.compress(text)))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([r[2] for r in rows], pa.binary()),
-                ],
-                names=["bucket", "heads", "texts"],
+_LOW = np.uint64((1 << 24) - 1)
+
+
+def _batch(**columns: list) -> pa.RecordBatch:
+    """Numbers (the first column) and bytes as a batch."""
+    kinds = [pa.int32()] + [pa.binary()] * (len(columns) - 1)
+    arrays = [pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+
+def _shared(slabs: int):
+    """Anchors that two documents have, packed by slab; rows come by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, unpacker = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for bucket, rows in _by_bucket(batches, ("anchors",)):
+            heads = np.concatenate([unpacked_heads(unpacker.decompress(a), _ANCHOR) for (a,) in rows])
+            order = np.argsort(heads["hash"], kind="stable")
+            hashes, docs = heads["hash"][order], heads["doc"][order]
+            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            two = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+            chosen = np.sort(order[np.repeat(two, np.diff(np.append(first, len(order))))])
+            slab = _slab_number(heads["doc"][chosen], slabs)
+            groups = _groups(slab)
+            keys = [_keys(bucket, heads["hash"][chosen[g]], heads["doc"][chosen[g]]) for g in groups]
+            yield _batch(
+                slab=[int(slab[g[0]]) for g in groups],
+                keys=[packer.compress(np.unique(k).astype("<u4").tobytes()) for k in keys],
             )
 
-        parts, held = [], 0
-        for batch in batches:
-            docs, texts = batch.column("doc_id"), batch.column("text")
-            for i in range(batch.num_rows):
-                doc, text = docs[i].as_py(), texts[i].as_py()
-                if doc is None or text is None:
-                    continue
-                data = text.encode()
-                mark = _mark(data, marked)
-                for begin, stretch in _stretches(data):
-                    hashes, start, count = pieces(stretch)
-                    if not len(hashes):
-                        continue
-                    heads = np.zeros(len(hashes), _HEAD)
-                    # The bucket takes the upper half of the hash, the head the lower one.
-                    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                    heads["hash"] = hashes & np.uint64(0xFFFFFFFF)
-                    heads["doc"], heads["mark"] = doc, mark
-                    heads["start"], heads["size"] = start + begin, count + MATCH - 1
-                    raw = np.frombuffer(stretch, np.uint8)
-                    parts.append((heads, raw[_ranges(start, count + MATCH - 1)], bucket))
-                    held += len(stretch)
-                if held >= SCAN_BYTES:
-                    yield packed(parts)
-                    parts, held = [], 0
-        if parts:
-            yield packed(parts)
+    return run
+
+
+def _keys(bucket, hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """32 bits that name an anchor of a document inside its slab. Two with one name only
+    send a piece that nobody needs."""
+    both = hashes.astype(np.uint64) << np.uint64(32) | np.asarray(bucket).astype(np.uint64)
+    return mixed(mixed(both) + docs.astype(np.uint64)) >> np.uint64(32)
+
+
+def _by_bucket(
+    batches: Iterator[pa.RecordBatch], names: tuple[str, ...]
+) -> Iterator[tuple[int, list[tuple[bytes, ...]]]]:
+    bucket, rows = None, []
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in names)
+        for b, *values in zip(batch.column("bucket").to_pylist(), *columns, strict=True):
+            if b != bucket:
+                if rows:
+                    yield bucket, rows
+                bucket, rows = b, []
+            rows.append(tuple(values))
+    if rows:
+        yield bucket, rows
+
+
+def _pieces_sent(buckets: int, marked: bool):
+    """Pieces of the documents of a slab whose anchors are shared, packed by bucket.
+
+    Where doc_ids repeat, rows of one are told apart by a mark of their text.
+    """
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        packer, text_packer = (zstandard.ZstdCompressor(level=k) for k in (3, 6))
+        unpacker = zstandard.ZstdDecompressor()
+        wanted = [np.frombuffer(unpacker.decompress(k), "<u4") for k in shared["keys"].to_pylist()]
+        wanted = np.unique(np.concatenate([np.zeros(0, "<u4"), *wanted]))
+        heads, texts, dealt = [np.zeros(0, _HEAD)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+        for doc, text in _documents(docs) if len(wanted) else ():
+            if doc is None or not text:
+                continue
+            data = text.encode()
+            mark = _mark(data, marked)
+            for begin, stretch in _stretches(data):
+                hashes, start, count = pieces(stretch)
+                bucket = _bucket_of(hashes, buckets)
+                key = _keys(bucket, hashes & _LOW, np.full(len(hashes), doc))
+                at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                sent = wanted[at] == key
+                hashes, start, count = hashes[sent], start[sent], count[sent]
+                head = np.zeros(len(hashes), _HEAD)
+                head["hash"], head["doc"], head["mark"] = hashes & np.uint64(0xFFFFFFFF), doc, mark
+                head["start"], head["size"] = start + begin, count + MATCH - 1
+                heads.append(head)
+                texts.append(np.frombuffer(stretch, np.uint8)[_ranges(start, count + MATCH - 1)])
+                dealt.append(bucket[sent])
+        head, text, bucket = (np.concatenate(x) for x in (heads, texts, dealt))
+        sizes = head["size"].astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        groups = _groups(bucket)
+        return pa.Table.from_batches(
+            [
+                _batch(
+                    bucket=[int(bucket[g[0]]) for g in groups],
+                    heads=[packer.compress(packed_heads(head[g])) for g in groups],
+                    texts=[text_packer.compress(text[_ranges(begins[g], sizes[g])].tobytes()) for g in groups],
+                )
+            ]
+        )
 
     return run
 
@@ -328,55 +414,55 @@ def _match(slabs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-
-        def found(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        for _, rows in _by_bucket(batches, ("heads", "texts")):
             heads = np.concatenate([unpacked_heads(unpacker.decompress(h)) for h, _ in rows])
             text = np.concatenate([np.frombuffer(unpacker.decompress(t), np.uint8) for _, t in rows])
             runs = covered_runs(heads, text)
-            slab = (mixed(runs["doc"].astype(np.uint64)) % np.uint64(slabs)).astype(np.int64)
-            order = np.argsort(slab, kind="stable")
-            groups = np.split(order, np.flatnonzero(np.diff(slab[order])) + 1) if len(order) else []
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(slab[g[0]]) for g in groups], pa.int32()),
-                    pa.array([runs[g].tobytes() for g in groups], pa.binary()),
-                ],
-                names=["slab", "runs"],
-            )
-
-        bucket, rows = None, []
-        for batch in batches:
-            for b, h, t in zip(*(batch.column(c) for c in ("bucket", "heads", "texts")), strict=True):
-                if b.as_py() != bucket:
-                    if rows:
-                        yield found(rows)
-                    bucket, rows = b.as_py(), []
-                rows.append((h.as_py(), t.as_py()))
-        if rows:
-            yield found(rows)
+            slab = _slab_number(runs["doc"], slabs)
+            groups = _groups(slab)
+            yield _batch(slab=[int(slab[g[0]]) for g in groups], runs=[runs[g].tobytes() for g in groups])
 
     return run
 
 
 def _slab_of(slabs: int):
+    """Documents packed by slab. Those without an id lose nothing and may be in any slab."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64)
-            slab = (mixed(ids) % np.uint64(slabs)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(slab, pa.int32())], names=["doc_id", "text", "slab"]
+        packer = zstandard.ZstdCompressor(level=3)
+        for part in chain.from_iterable(parts(b, SCAN_BYTES) for b in batches):
+            ids = part.column("doc_id")
+            slab = _slab_number(np.where(ids.is_null(), np.arange(len(ids)), ids.fill_null(0).to_numpy()), slabs)
+            groups = _groups(slab)
+            yield _batch(
+                slab=[int(slab[g[0]]) for g in groups],
+                docs=[packer.compress(_serialized(part.take(pa.array(g)))) for g in groups],
             )
 
     return run
 
 
+def _serialized(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _documents(packed: pa.Table) -> Iterator[tuple[int | None, str | None]]:
+    unpacker = zstandard.ZstdDecompressor()
+    for data in packed["docs"].to_pylist():
+        batch = pa.ipc.open_stream(unpacker.decompress(data)).read_all()
+        yield from zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _cut_out(docs: pa.Table, runs: pa.Table, marked: bool) -> pa.Table:
     """The documents of one slab without what is covered."""
-    parts = [np.frombuffer(x.as_py(), _RUN) for x in runs["runs"]]
-    found = np.concatenate(parts) if parts else np.zeros(0, _RUN)
+    packed = [np.frombuffer(x.as_py(), _RUN) for x in runs["runs"]]
+    found = np.concatenate(packed) if packed else np.zeros(0, _RUN)
     found = found[np.lexsort((found["start"], found["mark"], found["doc"]))]
     new = np.ones(len(found), bool)
     new[1:] = (found["doc"][1:] != found["doc"][:-1]) | (found["mark"][1:] != found["mark"][:-1])
@@ -384,7 +470,7 @@ def _cut_out(docs: pa.Table, runs: pa.Table, marked: bool) -> pa.Table:
     last = np.append(first[1:], len(found))
     where = {(int(found["doc"][a]), int(found["mark"][a])): (a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)}
     out = []
-    for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+    for doc, text in _documents(docs):
         data = (text or "").encode()
         kept, spans, at = [], 0, 0
         a, b = where.get((doc, _mark(data, marked)), (0, 0)) if doc is not None else (0, 0)
@@ -412,12 +498,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets, slabs = total * 4 // BUCKET_BYTES + 1, total // SLAB_BYTES + 1
     marked = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    scanned = rows.mapInArrow(_scan(buckets, marked), "bucket int, heads binary, texts binary")
-    dealt = scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    runs = stored(dealt.mapInArrow(_match(slabs), "slab int, runs binary"), "suffix-runs")
-    placed = rows.mapInArrow(_slab_of(slabs), "doc_id long, text string, slab int")
+    tasks = min(buckets, MOST_PARTITIONS)
+
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+    anchors = rows.mapInArrow(_anchors(buckets), "bucket int, anchors binary")
+    shared = by_bucket(anchors).mapInArrow(_shared(slabs), "slab int, keys binary")
+    placed = rows.mapInArrow(_slab_of(slabs), "slab int, docs binary").groupBy("slab")
+    sent = placed.cogroup(shared.groupBy("slab")).applyInArrow(
+        _pieces_sent(buckets, marked), "bucket int, heads binary, texts binary"
+    )
+    runs = stored(by_bucket(sent).mapInArrow(_match(slabs), "slab int, runs binary"), "suffix-runs")
 
     def cut_out(docs: pa.Table, runs: pa.Table) -> pa.Table:
         return _cut_out(docs, runs, marked)
 
-    return placed.groupBy("slab").cogroup(runs.groupBy("slab")).applyInArrow(cut_out, RESULT)
+    return placed.cogroup(runs.groupBy("slab")).applyInArrow(cut_out, RESULT)
