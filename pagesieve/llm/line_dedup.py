@@ -29,7 +29,8 @@ Defined results
     repeated rows             same doc_id and text: one document, all copies alike
     equal doc_ids             neither is the later one: not aligned with each other
     null doc_id               later than all others, not aligned with each other
-    one repeated line         as many copies go as one earlier document has; others stay
+    one repeated line         at least as many copies go as one earlier document has; what
+                              several partners delete is united, so more can go
     columns of other names    kept as they are
     empty table               no rows
 """
@@ -322,8 +323,11 @@ def without_repeats(
 
     Without ``whole``, a document is aligned once with the first holder of each of its
     lines, and what stands there in another order or more often stays. With it, of every
-    line of five words as many copies go as one earlier document has: every copy has its
-    own first holder, and blocks are also matched out of order.
+    line of five words at least as many copies go as one earlier document has: every copy
+    has its own first holder, and blocks are also matched out of order. Nothing goes but
+    lines of blocks of five words that an earlier document has too. What the partners of a
+    document delete is united: of x, y, x both x go if one earlier document is x and
+    another is y, x.
     """
     docs = docs.drop(into) if into not in (doc_id, text) else docs
     places, mark, partners = (fresh_name(docs, x) for x in ("places", "mark", "partners"))

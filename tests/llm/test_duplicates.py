@@ -233,6 +233,57 @@ def _left_of(spark, docs):
     return {r.doc_id: r.text for r in line_dedup.without_repeats(df, whole=True).collect()}
 
 
+def assert_whole(docs, left):
+    """Whole line dedup from both sides: lines that go are in a block of five words that an
+    earlier document has, and of a line of five words no more copies stay than may."""
+    worded = {
+        i: [x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n") if x.encode().split()] for i, t in docs.items()
+    }
+    size = lambda x: len(x.encode().split())
+    seen, most = set(), defaultdict(int)  # blocks, and copies that one earlier document has
+    for i in sorted(docs):
+        lines, blocks = worded[i], {}
+        for a in range(len(lines)):
+            # Blocks from which the first or the last line cannot be left out.
+            for b in range(a + 1, len(lines) + 1):
+                words = sum(map(size, lines[a:b]))
+                if words >= 5 and min(words - size(lines[a]), words - size(lines[b - 1])) < 5:
+                    blocks[a, b] = tuple(lines[a:b])
+                if words - size(lines[a]) >= 5:
+                    break
+        may_go = {k for (a, b), x in blocks.items() if x in seen for k in range(a, b)}
+        stay = [x.strip(" \t\n\x0b\x0c\r") for x in left[i].split("\n") if x.encode().split()]
+        rest = iter(lines)
+        assert all(any(x == y for y in rest) for x in stay)
+        for x in set(lines):
+            gone = lines.count(x) - stay.count(x)
+            assert gone <= sum(lines[k] == x for k in may_go), (i, x)
+            assert size(x) < 5 or gone >= min(lines.count(x), most[x]), (i, x)
+        seen.update(blocks.values())
+        for x in set(lines):
+            most[x] = max(most[x], lines.count(x))
+
+
+def test_whole_line_dedup_unites_what_partners_delete(spark):
+    x, y = "a line of just six words", "another line that is not that"
+    docs = {0: x, 1: f"{y}\n{x}", 2: f"{x}\n{y}\n{x}", 3: f"new words in this own line\n{x}"}
+    left = _left_of(spark, docs)
+    assert left == {0: x, 1: y, 2: "", 3: "new words in this own line"}
+    assert_whole(docs, left)
+
+
+def test_whole_line_dedup_from_both_sides(spark):
+    rng = random.Random(28)
+    pool = [prose(rng, rng.choice([1, 3, 5, 8])) for _ in range(25)]
+    docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randrange(10))) for i in range(90)}
+    left = _left_of(spark, docs)
+    assert_whole(docs, left)
+    with pytest.raises(AssertionError):
+        assert_whole(docs, docs)
+    with pytest.raises(AssertionError):
+        assert_whole(docs, dict.fromkeys(docs, ""))
+
+
 def test_line_dedup_beyond_the_first_alignment(spark):
     p, q, x = "one passage of six words here", "another passage of six words there", "this line comes more than once"
     docs = {

@@ -11,7 +11,7 @@ from pagesieve.llm import bpe
 from pagesieve.llm.queries import MIX, MIX_OPTIONS, VOCABULARY
 from pagesieve.llm.queries import op8_quality_divergence as judged
 from pagesieve.llm.sql import mix
-from test_duplicates import _brute_lines, _least, _shingles
+from test_duplicates import _least, _shingles, assert_whole
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,8 +32,9 @@ def test_stages(spark, tmp_path):
             assert {r.doc_id for r in rows} == {r.doc_id for r in judged(spark, SF).filter("kept").collect()}
             assert 0 < len(rows) < len(before)
         elif name == "line dedup":
-            left = _brute_lines(before)
-            assert {r.doc_id: r.text for r in rows} == {i: t for i, t in left.items() if t.split()}
+            left = dict.fromkeys(before, "") | {r.doc_id: r.text for r in rows}
+            assert_whole(before, left)
+            assert all(r.text.split() for r in rows) and len(rows) < len(before)
         elif name == "MinHash near-dedup":
             sets = {i: _shingles(t, 5) for i, t in before.items()}
             pairs = [
