@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagesieve import operators as op
 from pagesieve import plans
@@ -76,6 +77,11 @@ def library_queries() -> dict[str, Query]:
         "link_counts_by_kind": on_pages(lambda p: op.link_counts(p, "kind")),
         "link_counts_by_host": on_pages(lambda p: op.link_counts(p, "host")),
         "page_text": on_pages(op.page_text),
+        "broken_links": on_pages(op.broken_links),
+        "broken_targets": on_pages(op.broken_targets),
+        "orders_at_events": orders_at_events,
+        "overlapping_order_spans": overlapping_order_spans,
+        "latest_order_before_event": latest_order_before_event,
         "facts_metadata": on_facts(plans.facts_metadata),
         "facts_links": on_facts(plans.facts_links),
         "facts_link_counts_by_kind": on_facts(lambda f: plans.facts_link_counts(f, "kind")),
@@ -93,6 +99,51 @@ def library_queries() -> dict[str, Query]:
     }
 
 
+#: Events come this many days after the orders they are joined with.
+DAYS_APART = 9131
+DAY = 86_400_000_000
+
+
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, user_id, at``: micros of the event, in the years of the orders."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", "user_id", (_micros("ts") - DAYS_APART * DAY).alias("at"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", "o_custkey", "o_totalprice", _micros("o_orderdate").alias("ordered"))
+
+
+def orders_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders open when an event happens; an order is open for a minute per 1000 of its price."""
+    open_for = (F.col("o_totalprice") / 1000).cast("long") * 60_000_000
+    orders = _orders(spark, sf_dir).withColumn("until", F.col("ordered") + open_for)
+    rows = op.interval_join(_events(spark, sf_dir), orders, "at", "ordered", "until")
+    return rows.select("event_id", "o_orderkey", (F.col("at") - F.col("ordered")).alias("micros"))
+
+
+def overlapping_order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of orders of a customer that are less than their spans of days apart."""
+    days = F.col("o_orderkey") % 40
+    orders = _orders(spark, sf_dir).select(
+        "o_custkey", "o_orderkey", F.col("ordered").alias("low"), (F.col("ordered") + days * DAY).alias("high")
+    )
+    other = orders.withColumnsRenamed({"o_orderkey": "other_key", "low": "other_low", "high": "other_high"})
+    pairs = op.overlap_join(orders, other, ("low", "high"), ("other_low", "other_high"), ("o_custkey",))
+    return pairs.filter("o_orderkey < other_key").select("o_custkey", "o_orderkey", "other_key")
+
+
+def latest_order_before_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir).select(F.col("o_custkey").alias("user_id"), "ordered", "o_orderkey")
+    rows = op.asof_join(_events(spark, sf_dir), orders, "user_id", "at", "ordered", width=30 * DAY)
+    return rows.select("event_id", "user_id", "latest.o_orderkey", (F.col("at") - F.col("latest.ordered")).alias("micros"))
+
+
 _HIDDEN = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 _TITLE = "(?is)<title[^>]*>(.*?)</title>"
 _SHOWN = f"regexp_replace(html, '{_HIDDEN}', ' ', 'g')"
@@ -123,6 +174,24 @@ _KIND = """
 """
 _HOST = "nullif(lower(regexp_extract(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '')"
 
+_ORIGIN = "lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*'))"
+_ADDRESS = "lower(regexp_extract({0}, '^[A-Za-z]+://[^/?#]*')) || coalesce(nullif(regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract({0}, '^[^?#]*([?][^#]*)?', 1)"
+#: Internal links with their targets. The pages have no dot segments in their links.
+_INTERNAL = f"""
+    SELECT row_no, page_id, href, target, count(*) AS n FROM (
+        SELECT l.row_no, l.page_id, href, {_ORIGIN} AS origin, CASE
+            WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {_ADDRESS.format("href")}
+            WHEN href LIKE '//%' THEN {_ADDRESS.format("split_part(url, ':', 1) || ':' || href")}
+            WHEN href LIKE '/%' THEN {_ADDRESS.format(f"{_ORIGIN} || href")}
+            WHEN href = '' OR href LIKE '#%' THEN {_ADDRESS.format("url")}
+            WHEN href LIKE '?%' THEN {_ADDRESS.format("regexp_extract(url, '^[^?#]*') || href")}
+            ELSE {_ADDRESS.format("regexp_extract(regexp_extract(url, '^[^?#]*'), '^.*/') || href")} END AS target
+        FROM ({_PAGE_LINKS}) l JOIN (SELECT row_number() OVER () AS row_no, url FROM pages) USING (row_no)
+    ) WHERE split_part(target, '/', 3) = split_part(origin, '/', 3) GROUP BY ALL
+"""
+_BROKEN = f"SELECT * FROM ({_INTERNAL}) l WHERE NOT EXISTS (SELECT 1 FROM pages WHERE {_ADDRESS.format('url')} = l.target)"
+_EVENT_TIME = f"epoch_us(ts) - {DAYS_APART * DAY}"
+
 _PRICE = "CAST(p_retailprice AS DECIMAL(10,2))"
 _SECOND = """['₪' || p_size || '+', p_size || ',50 EUR', '$1,' || lpad(CAST(p_size AS VARCHAR), 3, '0'),
     '1.' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ',50 €', p_size || ' min',
@@ -176,6 +245,29 @@ def library_sql() -> dict[str, str]:
                    {_plain(f"regexp_replace(regexp_replace({_SHOWN}, '{_TITLE}', ' ', 'g'), '<[a-zA-Z/!?][^<>]*>?', ' ', 'g')")} AS text
             FROM pages
         """,
+        "broken_links": f"SELECT page_id, href, target, n FROM ({_BROKEN})",
+        "broken_targets": f"""
+            SELECT target, CAST(sum(n) AS BIGINT) AS n_links, count(*) AS n_pages
+            FROM ({_BROKEN}) GROUP BY target
+        """,
+        "orders_at_events": f"""
+            SELECT event_id, o_orderkey, {_EVENT_TIME} - epoch_us(o_orderdate) AS micros
+            FROM events JOIN orders
+            ON {_EVENT_TIME} BETWEEN epoch_us(o_orderdate)
+               AND epoch_us(o_orderdate) + CAST(floor(o_totalprice / 1000) AS BIGINT) * 60000000
+        """,
+        "overlapping_order_spans": f"""
+            SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other_key FROM orders a JOIN orders b
+            ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+            AND epoch_us(a.o_orderdate) <= epoch_us(b.o_orderdate) + b.o_orderkey % 40 * {DAY}
+            AND epoch_us(b.o_orderdate) <= epoch_us(a.o_orderdate) + a.o_orderkey % 40 * {DAY}
+        """,
+        "latest_order_before_event": f"""
+            SELECT event_id, any_value(user_id) AS user_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
+                   any_value({_EVENT_TIME}) - epoch_us(max(o_orderdate)) AS micros
+            FROM events LEFT JOIN orders ON o_custkey = user_id AND epoch_us(o_orderdate) <= {_EVENT_TIME}
+            GROUP BY event_id
+        """,
         "rendered_metadata": """
             SELECT p_partkey AS page_id,
                    CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'he' END AS lang,

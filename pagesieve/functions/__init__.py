@@ -11,7 +11,7 @@ from pagesieve.functions.markup import (
     title,
     visible_text,
 )
-from pagesieve.functions.urls import link_host, link_kind
+from pagesieve.functions.urls import link_host, link_kind, resolve
 
 __all__ = [
     "attribute",
@@ -21,6 +21,7 @@ __all__ = [
     "link_host",
     "link_kind",
     "named_meta",
+    "resolve",
     "start_tags",
     "targets",
     "title",

@@ -1,4 +1,7 @@
+from pagesieve.operators.asof import asof_join
+from pagesieve.operators.broken import broken_links, broken_targets
 from pagesieve.operators.hours import opening_hours
+from pagesieve.operators.intervals import interval_join, overlap_join
 from pagesieve.operators.links import link_counts, page_images, page_links
 from pagesieve.operators.metadata import named_meta_tags, page_metadata
 from pagesieve.operators.prices import price_rows
@@ -7,10 +10,15 @@ from pagesieve.operators.text import page_text
 
 __all__ = [
     "RowPattern",
+    "asof_join",
+    "broken_links",
+    "broken_targets",
     "class_rows",
+    "interval_join",
     "link_counts",
     "named_meta_tags",
     "opening_hours",
+    "overlap_join",
     "page_images",
     "page_links",
     "page_metadata",
