@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.functions import let
 from pagesieve.operators.rows import RowPattern, page_rows
 
 # Hebrew day letters and day names, 1 = Sunday.
@@ -34,14 +35,21 @@ def _days(label: Column, days: Mapping[str, int], day_words: tuple[str, ...]) ->
     text = bare(F.regexp_replace(label, rf"\A(?:{words})\s+", "") if words else label)
 
     def span(part: Column) -> Column:
-        ends = F.split(part, _DASH)
-        first = F.try_element_at(day_of, F.get(ends, F.lit(0)))
-        last = F.try_element_at(day_of, F.get(ends, F.size(ends) - 1))
-        known = first.isNotNull() & last.isNotNull() & (F.size(ends) <= 2)
-        run = F.transform(
-            F.sequence(first, first + F.pmod(last - first, F.lit(7))), lambda d: (d - 1) % 7 + 1
-        )
-        return F.when(known, run).otherwise(F.array(F.lit(None).cast("int")))
+        def ends_of(ends: Column) -> Column:
+            day = lambda i: F.try_element_at(day_of, F.get(ends, i))
+            known = F.size(ends) <= 2
+            return F.when(
+                known, F.struct(day(F.lit(0)).alias("first"), day(F.size(ends) - 1).alias("last"))
+            )
+
+        def run(e: Column) -> Column:
+            days = F.sequence(e["first"], e["first"] + F.pmod(e["last"] - e["first"], F.lit(7)))
+            known = e["first"].isNotNull() & e["last"].isNotNull()
+            return F.when(known, F.transform(days, lambda d: (d - 1) % 7 + 1)).otherwise(
+                F.array(F.lit(None).cast("int"))
+            )
+
+        return let(let(F.split(part, _DASH), ends_of), run)
 
     return F.flatten(F.transform(F.split(text, _LIST), span))
 
@@ -51,24 +59,42 @@ def _unmarked(name: str) -> str:
 
 
 def _spans(value: Column, closed_word: str) -> Column:
-    """The spans of hours in a value; a span that cannot be read is all NULL."""
+    """The spans of hours in a value; a span that cannot be read is all NULL.
 
-    def span(part: Column) -> Column:
-        number = lambda i: F.regexp_extract(part, _SPAN, i).try_cast("int")
+    One replacement writes the four numbers of a span with colons between them, and the
+    rest works on these.
+    """
+
+    def span(part: Column, numbers: Column) -> Column:
+        # Where nothing was replaced there is no span; a span has a dash, numbers have none.
+        return let(F.split(F.when(numbers != part, numbers), ":", -1), lambda f: read_of(part, f))
+
+    def read_of(part: Column, fields: Column) -> Column:
+        number = lambda i: F.get(fields, F.lit(i)).try_cast("int")
         minute = lambda i: F.coalesce(number(i), F.lit(0))
-        sound = F.lit(True)
-        for hour, past in ((number(1), minute(2)), (number(3), minute(4))):
-            sound &= (hour * 60 + past <= 24 * 60) & (past < 60)
-        kept = lambda x: F.when(sound & part.rlike(_SPAN), x)
-        return F.struct(
-            kept(number(1)).alias("open_hour"),
-            kept(minute(2)).alias("open_minute"),
-            kept(number(3)).alias("close_hour"),
-            kept(minute(4)).alias("close_minute"),
-            (part == closed_word).alias("closed"),
+        read = F.struct(
+            number(0).alias("open_hour"),
+            minute(1).alias("open_minute"),
+            number(2).alias("close_hour"),
+            minute(3).alias("close_minute"),
         )
 
-    return F.transform(F.split(value, _LIST), span)
+        def checked(x: Column) -> Column:
+            sound = F.size(fields) == 4
+            for hour, past in (("open_hour", "open_minute"), ("close_hour", "close_minute")):
+                sound &= (x[hour] * 60 + x[past] <= 24 * 60) & (x[past] < 60)
+            kept = lambda c: F.when(sound, x[c]).alias(c)
+            return F.struct(
+                *map(kept, ("open_hour", "open_minute", "close_hour", "close_minute")),
+                (part == closed_word).alias("closed"),
+            )
+
+        return let(read, checked)
+
+    return F.transform(
+        F.split(value, _LIST),
+        lambda part: let(F.regexp_replace(part, _SPAN, "$1:$2:$3:$4"), lambda n: span(part, n)),
+    )
 
 
 def opening_hours(
@@ -86,8 +112,13 @@ def opening_hours(
     """
     return (
         page_rows(pages, pattern)
-        .select("page_id", "value", F.explode_outer(_days(F.col("name"), days, day_words)).alias("dow"))
-        .select("page_id", "dow", F.explode_outer(_spans(F.col("value"), closed_word)).alias("span"))
+        .select(
+            "page_id",
+            _days(F.col("name"), days, day_words).alias("days"),
+            _spans(F.col("value"), closed_word).alias("spans"),
+        )
+        .select("page_id", "spans", F.explode_outer("days").alias("dow"))
+        .select("page_id", "dow", F.explode_outer("spans").alias("span"))
         .select(
             "page_id",
             "dow",

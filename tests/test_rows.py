@@ -125,6 +125,7 @@ def test_hours_forms(spark):
         ("יום ראשון", "9–24", [(1, 9, 24, False, 0, 0)]),
         ("ב׳, ד׳", "09–13, 16–19", [(d, o, c, False, 0, 0) for d in (2, 4) for o, c in ((9, 13), (16, 19))]),
         ("שבת", "9:00–99", [(7, *nothing)]),
+        ("שבת", "10:00:11:00", [(7, *nothing)]),
         ("שבת", "9:75–10, סגור", [(7, *nothing), (7, None, None, True, None, None)]),
     ]
     rows = opening_hours(pages(spark, *(_markup([(d, t)]) for d, t, _ in forms)), ROWS)
