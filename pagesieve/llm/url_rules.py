@@ -1,10 +1,12 @@
 """URL filters: listed rules first, then association rules mined from labelled pages.
 
 A url is cut into tokens: its scheme, the labels of its host, the segments of its path
-and the names of its query. Spark's FP-growth finds the token combinations that occur
-together with a bad label often enough (support) and seldom without one (confidence).
-The rules that are left match through an inverted index: each stands under its rarest
-token only, and a url looks its own tokens up there.
+and the names of its query. Tokens that too few bad urls have are left out, and those that occur in the same labelled
+urls are one item, because every combination of them would be the same rule again. Spark's
+FP-growth finds the item combinations that occur together with a bad label often enough
+(support) and seldom without one (confidence). The rules that are left match through an
+inverted index: each stands under its rarest item only, and a url looks its own items up
+there. A url has an item if it has one of its tokens.
 
 Defined results
     null url, or no "://"      host and path empty, no rule, allowed
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.llm.storage import stored
@@ -88,65 +90,96 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(tokens))
 
 
+def merged_items(rows: DataFrame, least_bad: float) -> DataFrame:
+    """``token, item`` of the tokens in ``rows (id, tokens, bad)`` that enough bad rows have.
+
+    Tokens of the same rows get the first of them as their item. Equal sets of rows are
+    told by their size and two 64-bit sums over the ids. No more tokens come together than
+    one url has.
+    """
+    held = rows.select("id", "bad", F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(
+        F.count_if("bad").alias("n_bad"),
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("one"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("two"),
+    )
+    same = Window.partitionBy("n", "one", "two")
+    frequent = counts.filter(F.col("n_bad") >= least_bad)
+    return frequent.select("token", F.min("token").over(same).alias("item"))
+
+
+def items_of(rows: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """``key`` and the distinct ``items`` of ``rows (key, tokens)``, where there are any."""
+    held = rows.select(key, F.explode("tokens").alias("token")).join(items, "token")
+    return held.groupBy(key).agg(F.collect_set("item").alias("items"))
+
+
 def mined_rules(
     urls: DataFrame,
     *,
     least_support: float = LEAST_SUPPORT,
     least_count: int = LEAST_COUNT,
     least_confidence: float = LEAST_CONFIDENCE,
-) -> DataFrame:
-    """``tokens, key, support, confidence`` of the rules in ``urls (url, bad)``.
+) -> tuple[DataFrame, DataFrame]:
+    """``needed, key, support, confidence`` of the rules in ``urls (url, bad)``, and the
+    ``token, item`` that they are made of.
 
-    ``key`` is the token of the rule that the fewest labelled urls have (the first by
+    ``key`` is the item of the rule that the fewest labelled urls have (the first by
     name among equals). FP-growth needs the share of rows as its support, so
     ``least_count`` is turned into one.
     """
-    marked = urls.select(url_tokens(F.col("url")).alias("tokens"), F.col("bad"))
-    rows = marked.select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
+    marked = urls.select(
+        F.monotonically_increasing_id().alias("id"), url_tokens(F.col("url")).alias("tokens"), "bad"
     )
-    rows = stored(rows, "url-items")
+    rows = stored(marked, "url-tokens")
     total = rows.count()
     support = max(least_support, least_count / total) if total else 2.0
+    least_bad = support * total if support <= 1 else float("inf")
+    # Written, so that Spark knows its size and broadcasts it only if it is small.
+    items = stored(merged_items(rows, least_bad), "url-items")
     if support > 1:
-        return rows.sparkSession.createDataFrame(
-            [], "tokens array<string>, key string, support double, confidence double"
-        )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least_confidence).fit(rows)
+        schema = "needed array<string>, key string, support double, confidence double"
+        return rows.sparkSession.createDataFrame([], schema), items
+    # A row without a frequent token counts for the support, too.
+    found = rows.select("id", "bad").join(items_of(rows, "id", items), "id", "left")
+    held = F.coalesce("items", F.array().cast("array<string>"))
+    baskets = found.select(
+        F.when(F.col("bad"), F.array_append(held, F.lit(BAD))).otherwise(held).alias("items")
+    )
+    baskets = stored(baskets, "url-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(
-        F.array_sort("antecedent").alias("tokens"), "support", "confidence"
+        F.array_sort("antecedent").alias("needed"), "support", "confidence"
     )
     single = model.freqItemsets.filter(F.size("items") == 1).select(
-        F.col("items")[0].alias("token"), "freq"
+        F.col("items")[0].alias("item"), "freq"
     )
     rarest = (
-        rules.select("tokens", F.explode("tokens").alias("token"))
-        .join(single, "token")
-        .groupBy("tokens")
-        .agg(F.min(F.struct("freq", "token")).alias("least"))
+        rules.select("needed", F.explode("needed").alias("item"))
+        .join(single, "item")
+        .groupBy("needed")
+        .agg(F.min(F.struct("freq", "item")).alias("least"))
     )
-    return rules.join(rarest, "tokens").select(
-        "tokens", F.col("least.token").alias("key"), "support", "confidence"
+    rules = rules.join(rarest, "needed").select(
+        "needed", F.col("least.item").alias("key"), "support", "confidence"
     )
+    return rules, items
 
 
-def matching_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def matching_urls(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """The distinct ``url`` of ``urls`` that some rule matches.
 
     The index is written first: Spark then knows its size, and broadcasts it only if it
     is small.
     """
-    index = stored(rules.select("key", F.col("tokens").alias("needed")), "url-index")
-    looked_up = (
-        urls.filter(F.col("url").isNotNull())
-        .select("url")
-        .distinct()
-        .select("url", url_tokens(F.col("url")).alias("tokens"))
-        .select("url", "tokens", F.explode("tokens").alias("key"))
-    )
+    index = stored(rules.select("key", "needed"), "url-index")
+    distinct = urls.filter(F.col("url").isNotNull()).select("url").distinct()
+    tokens = distinct.select("url", url_tokens(F.col("url")).alias("tokens"))
+    looked_up = items_of(tokens, "url", items).select("url", "items", F.explode("items").alias("key"))
     return (
         looked_up.join(index, "key")
-        .filter(F.size(F.array_except("needed", "tokens")) == 0)
+        .filter(F.size(F.array_except("needed", "items")) == 0)
         .select("url")
         .distinct()
     )
@@ -171,8 +204,8 @@ def judged_urls(
     marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(
         F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad")
     )
-    rules = mined_rules(rows.join(marks, "page_id"), **mining)
-    hits = matching_urls(rows, rules).withColumn("mined", F.lit(True))
+    rules, items = mined_rules(rows.join(marks, "page_id"), **mining)
+    hits = matching_urls(rows, rules, items).withColumn("mined", F.lit(True))
     rule = F.col("listed")
     return (
         rows.join(hits, "url", "left")

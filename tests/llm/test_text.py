@@ -289,3 +289,21 @@ def test_mined_rules(spark):
     assert got[(None, "block")] == 1 and got[(7, "block")] >= 1 and got[(8, "allow")] >= 1
     assert sum(got.values()) == len(urls) + 3
     assert url_rules.judged_urls(pages.limit(0), labels.limit(0), LISTED).collect() == []
+
+
+def test_copies_of_a_long_url_make_one_rule(spark):
+    """Every combination of tokens that occur together would be a rule: 2^40 of them."""
+    long = "http://bad.example/" + "/".join(f"part{i}" for i in range(37))
+    pages = [(i, long) for i in range(12)] + [(100 + i, f"http://bad.example/{i}") for i in range(30)]
+    pages += [(200, "http://other.org/x/part7"), (201, "http://other.org/x"), (202, long + "/more")]
+    labels = [(i, 0, 0) for i in range(12)] + [(100 + i, 1, 0) for i in range(30)]
+    pages = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judged_urls(pages, labels, ()).collect()}
+    # One token of the url is a rule by itself, as any combination of them is.
+    blocked = {*range(12), 200, 202}
+    assert got == {i: "block" if i in blocked else "allow" for i in got} and len(got) == 45
+    rules, items = url_rules.mined_rules(
+        pages.join(labels.select(labels.doc_id.alias("page_id"), (labels.quality == 0).alias("bad")), "page_id")
+    )
+    assert rules.count() <= 4 and items.select("item").distinct().count() <= 4
