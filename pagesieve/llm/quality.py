@@ -50,8 +50,6 @@ WINDOW = 5
 
 #: Parameters of the method.
 COMMON_WORDS = 16
-#: The SQL looks no further than this; the operator takes words of any length.
-SHORT_WORD_BYTES = 4
 GUARD_WORDS = 50
 GUARD_LANGUAGE_WORDS = 1000
 MOST_CLASS_DISTANCE = 0.3

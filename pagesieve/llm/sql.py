@@ -218,12 +218,12 @@ QUALITY = f"""
                [{", ".join(f"sum(classes[{i + 1}])" for i in range(len(quality.CLASSES) + 2))}] AS class_reference
         FROM counted GROUP BY lang
     ),
-    short AS (
+    common AS (
         SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM counted)
-        WHERE strlen(x) <= {quality.SHORT_WORD_BYTES} GROUP BY lang, x
+        GROUP BY lang, x
         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= {quality.COMMON_WORDS}
     ),
-    tops AS (SELECT lang, list(x ORDER BY n DESC, x) AS xs, list(n ORDER BY n DESC, x) AS ns FROM short GROUP BY lang),
+    tops AS (SELECT lang, list(x ORDER BY n DESC, x) AS xs, list(n ORDER BY n DESC, x) AS ns FROM common GROUP BY lang),
     known AS (
         SELECT t.lang, xs, class_reference, list_concat(ns, [total - list_sum(ns)]) AS word_reference
         FROM totals t JOIN tops p ON t.lang IS NOT DISTINCT FROM p.lang
