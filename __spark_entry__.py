@@ -3,7 +3,8 @@
 The first five queries read ``pages``. The ``rendered_*`` queries read pages that
 Spark renders from ``part`` (see ``rendered.py``); their SQL says what must come back
 from ``part`` alone, without looking at any markup. The ``facts_*`` queries read the
-one-scan table of ``pages`` and have the SQL of the direct jobs.
+one-scan table of ``pages`` and have the SQL of the direct jobs. The joins read ``pages``,
+``events`` and ``orders``.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ try:
     from pagesieve.llm.queries import QUERIES
 
     LLM_QUERIES = QUERIES | {"pipeline": corpus_pipeline.run}
-except ModuleNotFoundError as missing:  # the subpackage may be absent as a whole
-    if not str(missing.name).startswith(("corpus_pipeline", "pagesieve.llm")):
+except ModuleNotFoundError as missing:
+    # The subpackage may be absent as a whole, or what it alone needs (extra "llm").
+    own = ("corpus_pipeline", "pagesieve.llm", "numpy", "pyarrow", "public_tokenizers", "xxhash", "zstandard")
+    if not str(missing.name).startswith(own):
         raise
     LLM_QUERIES, LLM_SQL = {}, {}
 
