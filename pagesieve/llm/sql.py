@@ -255,7 +255,10 @@ QUALITY = f"""
 
 
 def url_verdicts(rules: tuple[url_rules.ListedRule, ...]) -> str:
-    """Listed rules, and every token combination of the labelled urls that is a rule."""
+    """Listed rules, and every combination of items of the labelled urls that is a rule.
+
+    An item is a token that enough bad urls have, or all such tokens of the same urls.
+    """
     listed = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
     names = lambda kind, parts: f"list_transform(list_filter({parts}, lambda x: x <> ''), lambda x: '{kind}:' || x)"
     tokens = "list_sort(list_distinct(" + " || ".join(
@@ -280,22 +283,32 @@ def url_verdicts(rules: tuple[url_rules.ListedRule, ...]) -> str:
             SELECT doc_id AS page_id, max(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id
         ),
         labelled AS (SELECT row_number() OVER () AS k, tokens, bad FROM parsed JOIN marks USING (page_id)),
+        least AS (SELECT ceil({url_rules.LEAST_SUPPORT} * count(*)) AS n FROM labelled),
+        held AS (SELECT k, bad, unnest(tokens) AS token FROM labelled),
+        frequent AS (
+            SELECT token, list(k ORDER BY k) AS ks FROM held GROUP BY token
+            HAVING count(*) FILTER (bad) >= (SELECT n FROM least)
+        ),
+        items AS (SELECT token, min(token) OVER (PARTITION BY ks) AS item FROM frequent),
+        baskets AS (SELECT k, bad, list(DISTINCT item ORDER BY item) AS items FROM held JOIN items USING (token) GROUP BY k, bad),
         subsets AS (
-            SELECT bad, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS needed
-            FROM (SELECT k, tokens, bad, unnest(range(1, 1 << len(tokens))) AS mask FROM labelled)
+            SELECT bad, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS needed
+            FROM (SELECT items, bad, unnest(range(1, 1 << len(items))) AS mask FROM baskets)
         ),
         mined AS (
             SELECT needed FROM subsets GROUP BY needed
-            HAVING count(*) FILTER (bad) >= ceil(greatest({url_rules.LEAST_SUPPORT},
-                       {url_rules.LEAST_COUNT} / (SELECT count(*) FROM labelled)) * (SELECT count(*) FROM labelled))
+            HAVING count(*) FILTER (bad) >= (SELECT n FROM least)
                AND count(*) FILTER (bad) / count(*) >= {url_rules.LEAST_CONFIDENCE}
         ),
+        urls AS (SELECT DISTINCT url, unnest(tokens) AS token FROM parsed WHERE url IS NOT NULL),
+        found AS (SELECT url, list(DISTINCT item) AS items FROM urls JOIN items USING (token) GROUP BY url),
+        hits AS (SELECT url FROM found WHERE EXISTS (FROM mined WHERE list_has_all(found.items, needed))),
         judged AS (
             SELECT page_id, host, path,
                    (SELECT arg_max(struct_pack(name := h || p, verdict := verdict), length(h || p)) FROM listed
                     WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
-                   url IS NOT NULL AND EXISTS (FROM mined WHERE list_has_all(tokens, needed)) AS mined
-            FROM parsed
+                   hits.url IS NOT NULL AS mined
+            FROM parsed LEFT JOIN hits USING (url)
         )
         SELECT page_id, host, path, rule.name AS rule,
                coalesce(rule.verdict, CASE WHEN mined THEN 'block' ELSE 'allow' END) AS verdict, mined
