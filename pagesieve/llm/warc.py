@@ -7,7 +7,12 @@ the offset that the index has for it.
 
 A record whose payload was archived before is a revisit: it has no payload, and names
 the record that has it. Which records are equal is found by digest: one small row for
-each digest after partial sums, joined back to the ids alone.
+each digest after partial sums. Digests of more than a thousandth of the repeated payloads
+are fewer than a thousand; they are broadcast, and their pages stay where they are. All
+others are joined to ids and digests without the payloads, and what is found goes to the
+pages by id and digest, which no more than that thousandth share.
+
+A revisit is read by looking up the response that it names.
 
 Tasks write archives under names that no other attempt uses, and only archives named by
 a finished task are in the index, so a lost executor leaves at most a stray file.
@@ -49,6 +54,8 @@ LEAST_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_RECORDS = 500
 SAMPLE_BYTES = 4 << 20
+#: A key of more than one in so many rows is hot.
+SHARE = 1000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 
@@ -63,25 +70,52 @@ _ID = "urn:page:"
 
 
 def open_folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of ``uri`` and the path on it."""
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """The file system of ``uri`` and the path on it, for URIs as Spark writes them.
+
+    ``file:/path`` and plain paths are local files, ``s3a`` and ``s3n`` are ``s3``.
+    """
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return pyarrow.fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+
+
+def hot_and_usual(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``counted (..., n)`` in two: fewer than ``SHARE`` rows with more than their share of
+    the sum of ``n``, to be broadcast, and all others."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * SHARE > total
+    return F.broadcast(counted.filter(hot).drop("n")), counted.filter(~hot).drop("n")
 
 
 def record_kinds(pages: DataFrame) -> DataFrame:
     """``pages (page_id, url, payload)`` with ``digest``, ``refers_to`` and ``revisit``."""
     rows = pages.withColumn("digest", F.sha2("payload", 256))
+    long = F.octet_length("payload") >= LEAST_REVISIT_BYTES
     again = (
-        rows.filter(F.octet_length("payload") >= LEAST_REVISIT_BYTES)
+        rows.filter(long)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .filter((F.col("n") > 1) & F.col("first").isNotNull())
-        .select("digest", "first")
     )
-    first = F.col("first")
-    revisit = F.coalesce(first.isNotNull() & ~first.eqNullSafe(F.col("page_id")), F.lit(False))
-    return rows.join(again, "digest", "left").select(
-        "page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, first).alias("refers_to")
+    hot, usual = hot_and_usual(stored(again, "warc-repeated"))
+    first, page_id = F.col("first"), F.col("page_id")
+    names = ("page_id", "url", "payload", "digest", "refers_to")
+    of_hot = rows.join(hot, "digest").withColumn("refers_to", F.when(~first.eqNullSafe(page_id), first))
+    others = rows.join(hot, "digest", "left_anti")
+    revisits = (
+        others.filter(long)
+        .select("page_id", "digest")
+        .join(usual, "digest")
+        .filter(~first.eqNullSafe(page_id))
+        .select(page_id.alias("id"), F.col("digest").alias("of"), first.alias("refers_to"))
+        .distinct()
     )
+    same = page_id.eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))
+    found = of_hot.select(*names).union(others.join(revisits, same, "left").select(*names))
+    return found.withColumn("revisit", F.col("refers_to").isNotNull())
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -123,11 +157,12 @@ def sample_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from ``SAMPLE_RECORDS`` records, chosen by the hash of their digests.
 
     The sample bounds what comes to the driver, and only decides how well archives are
-    compressed. Long payloads are left out of it.
+    compressed. Each record gives its beginning, so that all have no more than ``SAMPLE_BYTES``.
     """
+    beginning = F.substring("payload", 1, SAMPLE_BYTES // SAMPLE_RECORDS)
     picked = (
-        pages.filter(F.octet_length("payload").between(1, SAMPLE_BYTES // 16))
-        .select("page_id", "url", "payload", "digest")
+        pages.filter(F.octet_length("payload") > 0)
+        .select("page_id", "url", beginning.alias("payload"), "digest")
         .orderBy(F.xxhash64("digest", "page_id"))
         .limit(SAMPLE_RECORDS)
     )
@@ -205,8 +240,10 @@ RECORDS = T.StructType(
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The records at the places of ``index``, read from the archives below ``folder``.
 
-    ``sound`` says that a response's payload has the length and digest of its header.
-    The index is cut into runs of neighbouring records, so an archive is not one task.
+    ``sound`` says that a response's payload has the length and digest of its header, and
+    that a revisit names a response with its own. Length and digest are those of the payload
+    that was read. The index is cut into runs of neighbouring records, so an archive is not
+    one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +280,27 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     runs = index.select(*INDEX.fieldNames())
-    return runs.mapInArrow(run, RECORDS)
+    return _resolved(stored(runs.mapInArrow(run, RECORDS), "warc-records"))
+
+
+def _resolved(records: DataFrame) -> DataFrame:
+    """``records`` with length, digest and ``sound`` of revisits from the responses they name."""
+    revisit = F.col("record_type") == "revisit"
+    keys = ["refers_to", "payload_digest"]
+    names = records.filter(revisit).groupBy(*keys).agg(F.count("*").alias("n"))
+    responses = records.filter(~revisit & F.col("sound")).select(
+        F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("found")
+    )
+    # Rows of one id with one payload are the same response.
+    hot, usual = hot_and_usual(stored(names.join(responses.distinct(), keys), "warc-named"))
+    rows = records.filter(revisit)
+    looked_up = rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(usual, keys, "left"))
+    size = F.coalesce("found", "payload_bytes")
+    sound = F.col("found").eqNullSafe(F.col("payload_bytes"))
+    done = looked_up.select(
+        "page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", sound.alias("sound")
+    )
+    return records.filter(~revisit).unionByName(done)
 
 
 _ARROW = pa.schema(

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 from collections import Counter, defaultdict
 
@@ -234,7 +235,7 @@ def test_warc_round_trip(spark, tmp_path):
         data = (h or "").encode()
         again = len(data) >= 100 and first.get(h) is not None and first[h] != i
         digest = hashlib.sha256(data).hexdigest()
-        expected[(i, len(data), digest, "revisit" if again else "response", first[h] if again else None, None if again else True)] += 1
+        expected[(i, len(data), digest, "revisit" if again else "response", first[h] if again else None, True)] += 1
     assert got == expected
     files = list((tmp_path / "archives").iterdir())
     assert len(files) > 3
@@ -247,6 +248,42 @@ def test_warc_round_trip(spark, tmp_path):
         assert reader.read(8) == b"WARC/1.1"
 
 
+def test_payloads_are_not_shuffled_by_digest(spark, monkeypatch):
+    """A third of the pages are one error page; the usual way and the broadcast agree."""
+    rows = [(i, "u", "error " * 40 if i % 3 == 0 else f"page {i % 50} " * 40) for i in range(300)] + [(None, "u", "error " * 40)] * 9
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.col("html").cast("binary"))
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    expected = Counter((i, None if i == first[h] else first[h]) for i, _, h in rows)
+    for share in (1000, 4, 0):  # all hot, the error page alone, none
+        monkeypatch.setattr(warc, "SHARE", share)
+        kinds = warc.record_kinds(pages.drop("html"))
+        assert Counter((r.page_id, r.refers_to) for r in kinds.collect()) == expected
+        plan = spark._jvm.PythonSQLUtils.explainString(kinds._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"Input \[\d+\]: \[([^\n]*)\]\nArguments: hashpartitioning\(([^\n]*)", plan)
+        assert any("payload#" in columns for columns, _ in moved) or share == 1000
+        assert all("payload#" not in columns or "page_id#" in by for columns, by in moved)
+
+
+def test_a_revisit_without_its_response_is_not_sound(spark):
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean"
+    rows = [
+        (1, 200, "a", "response", None, True), (2, 999, "a", "revisit", 1, None), (3, 200, "a", "revisit", 7, None),
+        (4, 200, "b", "revisit", 1, None), (5, 300, "c", "response", None, False), (6, 300, "c", "revisit", 5, None),
+        (1, 200, "a", "response", None, True), (None, 200, "a", "revisit", 1, None),
+    ]
+    found = Counter((r.page_id, r.payload_bytes, r.sound) for r in warc._resolved(spark.createDataFrame(rows, schema)).collect())
+    assert found == Counter(
+        [(1, 200, True), (2, 200, False), (3, 200, False), (4, 200, False), (5, 300, False), (6, 300, False), (1, 200, True), (None, 200, True)]
+    )
+
+
+def test_folders_as_spark_writes_them(tmp_path):
+    for uri in (f"file:{tmp_path}", f"file://{tmp_path}", str(tmp_path)):
+        assert warc.open_folder(uri)[1] == str(tmp_path)
+
+
 def test_warc_of_nothing(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
@@ -291,6 +328,17 @@ def test_mined_rules(spark):
     assert url_rules.judged_urls(pages.limit(0), labels.limit(0), LISTED).collect() == []
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_support_is_the_same_share_at_every_size(spark, times):
+    """Of 500 labelled urls, 3 of a bad host are enough for a rule and 2 are not."""
+    few = [f"http://{h}.org/{h}{i}" for h, n in (("three", 3), ("two", 2), ("fine", 495)) for i in range(n)]
+    pages = spark.createDataFrame([*enumerate(few * times)], "page_id long, url string")
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.col("url").contains("fine").cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    more = pages.unionByName(spark.createDataFrame([(-1, "x://three.org/new"), (-2, "x://two.org/new")], pages.schema))
+    got = url_rules.judged_urls(more, labels, ()).filter("verdict = 'block'")
+    assert {r.page_id for r in got.collect()} == {-1} | {i for i, u in enumerate(few * times) if "three" in u}
+
+
 def test_copies_of_a_long_url_make_one_rule(spark):
     """Every combination of tokens that occur together would be a rule: 2^40 of them."""
     long = "http://bad.example/" + "/".join(f"part{i}" for i in range(37))
