@@ -45,7 +45,9 @@ WORDS = 4
 PERCENT = 80
 #: Lowest estimate that is still looked at: 0.8 less six deviations of the estimate.
 LEAST_ESTIMATE = 0.8 - 6 * 0.042
+#: Sets of a block, and bytes of their shingles, on the average of a bucket.
 BLOCK = 1024
+BLOCK_BYTES = 32 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_501)
@@ -265,24 +267,28 @@ def near_duplicates(docs: DataFrame, *, width: int = WORDS) -> DataFrame:
         .groupBy("cls")
         .agg(
             F.min("doc_id").alias("rep"),
+            F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
             F.first("signature").alias("signature"),
         ),
         "minhash-classes",
     )
-    in_bands = classes.select("cls", "rep", "signature", F.explode("bands").alias("key"))
+    in_bands = classes.select("cls", "rep", "n_shingles", "signature", F.explode("bands").alias("key"))
     by_chance = F.xxhash64("cls")
     buckets = stored(
         in_bands.groupBy("key")
         .agg(
             F.min(F.struct(by_chance.alias("order"), "cls", "signature")).alias("hub"),
             F.count("*").alias("n"),
+            F.sum("n_shingles").alias("size"),
         )
         .filter(F.col("n") > 1),
         "minhash-buckets",
     )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") * 8 / BLOCK_BYTES)).cast("int")
     shared = stored(
-        in_bands.join(buckets, "key").select("key", "cls", "rep", "signature", "hub", "n"), "minhash-shared"
+        in_bands.join(buckets, "key").select("key", "cls", "rep", "signature", "hub", blocks.alias("blocks")),
+        "minhash-shared",
     )
     sets = stored(shingle_sets(docs, shared.select("cls", "rep").distinct(), width), "minhash-sets")
     stars = (
@@ -317,31 +323,20 @@ def _remaining_links(
     label = roots.select(F.col("node").alias("cls"), "root")
     hub_label = roots.select(F.col("node").alias("hub_cls"), F.col("root").alias("hub_root"))
     rows = (
-        shared.select("key", "cls", "n", F.col("hub.cls").alias("hub_cls"))
+        shared.select("key", "cls", "blocks", F.col("hub.cls").alias("hub_cls"))
         .join(label, "cls", "left")
         .join(hub_label, "hub_cls", "left")
         .select(
             "key",
             "cls",
-            "n",
+            "blocks",
             F.coalesce("root", "cls").alias("root"),
             (F.coalesce("root", "cls") != F.coalesce("hub_root", "hub_cls")).alias("open"),
         )
     )
-    rows = stored(rows, "minhash-rows")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    opened = rows.filter("open").select("*", own.alias("i"), F.explode(others).alias("j"))
-    keys = rows.filter("open").select("key").distinct()
-    every = (
-        rows.join(keys, "key", "left_semi")
-        .withColumn("open", F.lit(False))
-        .select("*", F.explode(others).alias("i"), own.alias("j"))
-    )
     facts = classes.select("cls", "signature", "bands").join(sets, "cls")
     blocked = (
-        opened.unionByName(every)
+        in_blocks(stored(rows, "minhash-rows"))
         .join(facts, "cls")
         .select("key", "i", "j", "open", "cls", "root", "signature", "bands", "shingles")
         .repartition("key", "i", "j")
@@ -350,6 +345,22 @@ def _remaining_links(
     return blocked.mapInArrow(_block_links, "a binary, b binary").distinct()
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows (key, cls, blocks, root, open)`` dealt to pairs of blocks ``i, j`` of their bucket.
+
+    Open rows are in block ``i`` and meet all rows of the bucket in every ``j``. The rows
+    of ``j`` are repeated only for blocks ``i`` that hold an open row, so a bucket with one
+    open row has each of its rows once more.
+    """
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    open_rows = rows.filter("open").withColumn("i", own)
+    every = rows.join(open_rows.select("key", "i").distinct(), "key").select(
+        "key", "cls", "blocks", "root", F.lit(False).alias("open"), "i", own.alias("j")
+    )
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return open_rows.withColumn("j", F.explode(others)).unionByName(every)
+
+
 def one_of_each(docs: DataFrame, *, width: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies.
 

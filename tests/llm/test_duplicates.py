@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_helpers import prose
 from pagesieve.llm import cover_tree, line_dedup, minhash, suffix_dedup
@@ -121,6 +122,23 @@ def test_minhash(spark, monkeypatch, width, block):
     assert 6 < len(set(least.values())) < len(texts)
 
 
+def test_a_bucket_with_one_open_row_is_repeated_once(spark):
+    rows = spark.range(5000).select(
+        F.lit(1).alias("key"), F.col("id").cast("string").cast("binary").alias("cls"), F.lit(9).alias("blocks"),
+        F.lit(b"r").alias("root"), (F.col("id") == 77).alias("open"),
+    )
+    dealt = minhash.in_blocks(rows)
+    assert dealt.filter("open").count() == 9 and dealt.filter("NOT open").count() == 5000
+    pairs = dealt.filter("open").select("i", "j").join(dealt.filter("NOT open").select("i", "j", "cls"), ["i", "j"])
+    assert pairs.select("cls").distinct().count() == 5000
+
+
+@pytest.mark.parametrize("size", [4000])
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch, size):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    test_minhash(spark, monkeypatch, 4, 1024)
+
+
 def test_minhash_of_odd_documents(odd_documents, no_documents):
     rows = sorted((tuple(r) for r in minhash.near_duplicates(odd_documents).collect()), key=repr)
     by_id = defaultdict(list)
