@@ -85,6 +85,7 @@ def library_queries() -> dict[str, Query]:
         "orders_at_events": orders_at_events,
         "overlapping_order_spans": overlapping_order_spans,
         "latest_order_before_event": latest_order_before_event,
+        "user_sessions": user_sessions,
         "facts_metadata": on_facts(plans.facts_metadata),
         "facts_links": on_facts(plans.facts_links),
         "facts_link_counts_by_kind": on_facts(lambda f: plans.facts_link_counts(f, "kind")),
@@ -147,6 +148,15 @@ def latest_order_before_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "user_id", "latest.o_orderkey", (F.col("at") - F.col("latest.ordered")).alias("micros"))
 
 
+#: A session ends after so many hours without an event.
+SESSION_HOURS = 6
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op.sessions(_events(spark, sf_dir), "user_id", "at", SESSION_HOURS * DAY // 24, width=DAY)
+    return rows.select("user_id", F.col("start").alias("start_micros"), F.col("end").alias("end_micros"), F.col("n").alias("n_events"))
+
+
 _HIDDEN = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 _TITLE = "(?is)<title[^>]*>(.*?)</title>"
 _SHOWN = f"regexp_replace(html, '{_HIDDEN}', ' ', 'g')"
@@ -271,6 +281,13 @@ def library_sql() -> dict[str, str]:
             FROM events LEFT JOIN orders ON o_custkey = user_id AND epoch_us(o_orderdate) <= {_EVENT_TIME}
             GROUP BY event_id
         """,
+        "user_sessions": f"""
+            SELECT user_id, min(t) AS start_micros, max(t) AS end_micros, count(*) AS n_events FROM (
+                SELECT user_id, t, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY t) AS session FROM (
+                    SELECT user_id, t, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {SESSION_HOURS * DAY // 24}, true) AS opens
+                    FROM (SELECT user_id, {_EVENT_TIME} AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)))
+            GROUP BY user_id, session
+        """,
         "rendered_metadata": """
             SELECT p_partkey AS page_id,
                    CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'he' END AS lang,

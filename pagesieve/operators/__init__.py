@@ -6,6 +6,7 @@ from pagesieve.operators.links import link_counts, page_images, page_links
 from pagesieve.operators.metadata import named_meta_tags, page_metadata
 from pagesieve.operators.prices import price_rows
 from pagesieve.operators.rows import RowPattern, class_rows
+from pagesieve.operators.sessions import merged_sessions, sessions
 from pagesieve.operators.text import page_text
 
 __all__ = [
@@ -16,6 +17,7 @@ __all__ = [
     "class_rows",
     "interval_join",
     "link_counts",
+    "merged_sessions",
     "named_meta_tags",
     "opening_hours",
     "overlap_join",
@@ -24,4 +26,5 @@ __all__ = [
     "page_metadata",
     "page_text",
     "price_rows",
+    "sessions",
 ]

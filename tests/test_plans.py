@@ -58,12 +58,26 @@ def test_filter_reaches_the_scan(spark):
     assert "LessThan(page_id,10)" in plan
 
 
-def test_registered_queries_shuffle_for_counts_only(spark):
-    for name, query in contract.library_queries().items():
+#: Joins and sessions, which bring rows of a key together.
+KEYED = {
+    "broken_links", "broken_targets", "orders_at_events", "overlapping_order_spans", "latest_order_before_event", "user_sessions",
+}
+
+
+def test_registered_page_queries_shuffle_for_counts_only(spark):
+    for name in contract.library_queries().keys() - KEYED:
+        query = contract.library_queries()[name]
         exchanges = len(re.findall(r"^\(\d+\) Exchange", _plan(query(spark, SF)), flags=re.M))
         assert exchanges == ("counts" in name), name
 
 
+@pytest.mark.parametrize("name", sorted(KEYED))
+def test_keyed_queries_have_no_nested_loop(spark, name):
+    plan = _plan(contract.library_queries()[name](spark, SF))
+    assert "Exchange" in plan
+    assert not re.search("NestedLoop|Cartesian|EvalPython|InPandas|InArrow", plan)
+
+
 def test_partitions_are_the_callers_choice(spark):
     path = f"{SF}/pages.parquet"
     assert read_pages(spark, path, 5).rdd.getNumPartitions() == 5
