@@ -30,9 +30,10 @@ from pagesieve.llm.storage import stored
 
 BAD = "label:bad"
 
-#: Parameters of the mining: shares, at every size of the table. The share also bounds the
-#: items that FP-growth keeps on the driver: 200 for each token of a url.
-LEAST_SUPPORT = 0.005
+#: Parameters of the mining. The share also bounds the items that FP-growth keeps on the
+#: driver: 1000 for each token of a url.
+LEAST_SUPPORT = 0.001
+LEAST_COUNT = 10
 LEAST_CONFIDENCE = 0.6
 
 
@@ -119,6 +120,7 @@ def mined_rules(
     urls: DataFrame,
     *,
     least_support: float = LEAST_SUPPORT,
+    least_count: int = LEAST_COUNT,
     least_confidence: float = LEAST_CONFIDENCE,
 ) -> tuple[DataFrame, DataFrame]:
     """``needed, key, support, confidence`` of the rules in ``urls (url, bad)``, and the
@@ -126,16 +128,18 @@ def mined_rules(
 
     ``key`` is the item of the rule that the fewest labelled urls have (the first by
     name among equals). The support is the share of all labelled urls that have the
-    items and are bad.
+    items and are bad; FP-growth needs it as a share, so ``least_count`` is turned into one.
     """
     marked = urls.select(
         F.monotonically_increasing_id().alias("id"), url_tokens(F.col("url")).alias("tokens"), "bad"
     )
     rows = stored(marked, "url-tokens")
     total = rows.count()
+    support = max(least_support, least_count / total) if total else 2.0
+    least_bad = support * total if support <= 1 else float("inf")
     # Written, so that Spark knows its size and broadcasts it only if it is small.
-    items = stored(merged_items(rows, least_support * total), "url-items")
-    if not total:
+    items = stored(merged_items(rows, least_bad), "url-items")
+    if support > 1:
         schema = "needed array<string>, key string, support double, confidence double"
         return rows.sparkSession.createDataFrame([], schema), items
     # A row without a frequent token counts for the support, too.
@@ -145,7 +149,7 @@ def mined_rules(
         F.when(F.col("bad"), F.array_append(held, F.lit(BAD))).otherwise(held).alias("items")
     )
     baskets = stored(baskets, "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(
         F.array_sort("antecedent").alias("needed"), "support", "confidence"
     )
