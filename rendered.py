@@ -19,6 +19,9 @@ from pagesieve.operators.rows import class_rows
 PRICE_PATTERN = class_rows(("div", "price-row"), ("span", "item"), ("span", "amount"))
 HOURS_PATTERN = class_rows(("div", "open-row"), ("span", "day"), ("span", "time"))
 
+# A task renders so many pages at least, as long as there are tasks for more.
+_TASK_ROWS = 1000
+
 # "{x}" stands for a column of the rendering below.
 _TEMPLATE = """<!DOCTYPE html>
 <!-- <html lang="xx"><a href="/hidden">hidden</a> -->
@@ -68,7 +71,13 @@ def _choice(by: int, *values: str | Column) -> Column:
 
 
 def rendered_pages(parts: DataFrame) -> DataFrame:
-    """``page_id, url, html`` from ``part``."""
+    """``page_id, url, html`` from ``part``.
+
+    A row of ``part`` is a hundred bytes and a page of it thousands, so a file that is one
+    task to Spark holds pages for many: the rows are dealt out before they are rendered.
+    """
+    tasks = min(-(-parts.count() // _TASK_ROWS), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts.repartition(max(1, tasks))
     size = F.col("p_size").cast("string")
     values = {
         "key": F.col("p_partkey").cast("string"),

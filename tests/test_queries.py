@@ -49,3 +49,15 @@ def test_rows_of_a_mixed_crawl_come_from_the_pages_that_have_them(spark):
     for job, pattern in ((op.price_rows, PRICE_PATTERN), (op.opening_hours, HOURS_PATTERN)):
         assert job(crawl, pattern).isEmpty()
         assert tuples(job(crawl.union(shops), pattern)) == tuples(job(shops, pattern))
+
+
+def test_rendered_pages_are_many_tasks_where_the_table_is_one_file(spark, tmp_path):
+    """A table is read as one task if its file is small, however many pages it makes."""
+    columns = ["id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "cast(id % 50 AS int) AS p_size", "id / 7 AS p_retailprice"]
+    spark.range(9000).selectExpr(*columns).coalesce(1).write.parquet(str(tmp_path / "part"))
+    parts = spark.read.parquet(str(tmp_path / "part"))
+    pages = rendered_pages(parts)
+    assert parts.rdd.getNumPartitions() == 1 and pages.rdd.getNumPartitions() == 8
+    assert max(map(len, pages.select("page_id").rdd.glom().collect())) < 2000
+    assert pages.select("page_id").distinct().count() == pages.count() == 9000
+    assert rendered_pages(parts.limit(0)).isEmpty()
