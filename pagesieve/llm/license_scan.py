@@ -90,12 +90,12 @@ LICENCES = (
     ("ms-pl", "(?:ms pl|microsoft public)", "ms pl|microsoft"),
     ("postgresql", "postgresql", "postgresql"),
     ("cc0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?", "cc0|cc zero|creative zero"),
-    ("cc-by", "(?:cc|creative commons) (?:by|attribution)(?: [1234] [05])?", "cc by|creative attribution"),
-    ("cc-by-sa", "(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1234] [05])?", "cc by|creative attribution"),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv[a-z]*)(?: [1234] [05])?", "cc by|creative attribution"),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1234] [05])?", "cc by|creative attribution"),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1234] [05])?", "cc by|creative attribution"),
-    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv[a-z]*)(?: [1234] [05])?", "cc by|creative attribution"),
+    ("cc-by", "(?:cc|creative commons) (?:by|attribution)(?: [1234] [05])?", "cc by|cc attribution|creative by|creative attribution"),
+    ("cc-by-sa", "(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1234] [05])?", "cc by|cc attribution|creative by|creative attribution"),
+    ("cc-by-nd", "(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv[a-z]*)(?: [1234] [05])?", "cc by|cc attribution|creative by|creative attribution"),
+    ("cc-by-nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1234] [05])?", "cc by|cc attribution|creative by|creative attribution"),
+    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1234] [05])?", "cc by|cc attribution|creative by|creative attribution"),
+    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv[a-z]*)(?: [1234] [05])?", "cc by|cc attribution|creative by|creative attribution"),
     ("public-domain", "(?:the )?public domain", "public domain"),
     ("proprietary", "(?:a )?(?:proprietary|commercial)", "proprietary|commercial"),
 )
