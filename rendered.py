@@ -77,7 +77,7 @@ def rendered_pages(parts: DataFrame) -> DataFrame:
     task to Spark holds pages for many: the rows are dealt out before they are rendered.
     """
     tasks = min(-(-parts.count() // _TASK_ROWS), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = parts.repartition(max(1, tasks))
+    parts = parts.repartition(tasks) if tasks > 1 else parts
     size = F.col("p_size").cast("string")
     values = {
         "key": F.col("p_partkey").cast("string"),
