@@ -121,6 +121,7 @@ def mined_rules(
     *,
     least_support: float = LEAST_SUPPORT,
     least_count: int = LEAST_COUNT,
+    count_up_to: float = float("inf"),
     least_confidence: float = LEAST_CONFIDENCE,
 ) -> tuple[DataFrame, DataFrame]:
     """``needed, key, support, confidence`` of the rules in ``urls (url, bad)``, and the
@@ -129,13 +130,14 @@ def mined_rules(
     ``key`` is the item of the rule that the fewest labelled urls have (the first by
     name among equals). The support is the share of all labelled urls that have the
     items and are bad; FP-growth needs it as a share, so ``least_count`` is turned into one.
+    Where the count is more than the share ``count_up_to`` of the urls, that share is enough.
     """
     marked = urls.select(
         F.monotonically_increasing_id().alias("id"), url_tokens(F.col("url")).alias("tokens"), "bad"
     )
     rows = stored(marked, "url-tokens")
     total = rows.count()
-    support = max(least_support, least_count / total) if total else 2.0
+    support = max(least_support, min(count_up_to, least_count / total)) if total else 2.0
     least_bad = support * total if support <= 1 else float("inf")
     # Written, so that Spark knows its size and broadcasts it only if it is small.
     items = stored(merged_items(rows, least_bad), "url-items")

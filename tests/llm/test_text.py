@@ -7,13 +7,14 @@ import re
 import struct
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from llm_helpers import prose
 from pagesieve.llm import chat, mixing, quality, url_rules, warc
-from pagesieve.llm.queries import LISTED
+from pagesieve.llm.queries import LISTED, ORACLE_SQL, QUERIES
 
 # Quality
 
@@ -341,6 +342,25 @@ def test_support_is_a_share_and_a_least_count(spark, times, makes):
     assert {r.page_id for r in got.collect()} == {i for i, u in new if any(f"{h}.org" in u for h in makes.split())}
 
 
+@pytest.mark.parametrize(("times", "makes"), [(1, {-1}), (3, {-1}), (40, {-1, -2})])
+def test_url_query_mines_tables_of_few_labels(spark, tmp_path, times, makes):
+    """Of 500 labelled urls, 3 of a bad host make a rule, as 10 do of 2,000; of 20,000 it takes 20."""
+    few = [f"http://{h}.org/{h}{i}" for h, n in (("three", 3), ("two", 2), ("fine", 495)) for i in range(n)]
+    rows = [*enumerate(few * times), (-1, "x://three.org/new"), (-2, "x://two.org/new"), (-3, "x://fine.org/new")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.filter("page_id >= 0").selectExpr("page_id AS doc_id", "int(contains(url, 'fine')) AS quality", "0 AS toxic")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op9_url_rules"](spark, str(tmp_path))
+    assert {r.page_id for r in got.filter("mined AND page_id < 0").collect()} == makes
+    with duckdb.connect() as db:
+        for table in ("pages", "labels"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        found = db.execute(ORACLE_SQL["op9_url_rules"])
+        columns = [c[0] for c in found.description]
+        assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(found.fetchall())
+
+
 def test_copies_of_a_long_url_make_one_rule(spark):
     """Every combination of tokens that occur together would be a rule: 2^40 of them."""
     long = "http://bad.example/" + "/".join(f"part{i}" for i in range(37))
